@@ -4,21 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash
+from . import decontaminate, minhash, mixing, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    domain = F.concat(F.lit("domain"), F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(4)))
+    return mixing.mix(docs.withColumn("domain", domain), share=0.8, weights=MIX_WEIGHTS, epochs=4.0, seed=17)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_read(spark, sf_dir, "documents"), 24)
+
+
+#: Target weights of the mixture's domains; languages and sources weigh the same within them.
+MIX_WEIGHTS = {("domain0",): 0.4, ("domain1",): 0.3, ("domain2",): 0.2, ("domain3",): 0.1}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_source_mixing": op4_source_mixing,
+    "op5_decontamination": op5_decontamination,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
