@@ -216,9 +216,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def _choose(texts: pa.Array, toxic: np.ndarray, landmarks: int) -> list[np.ndarray]:
+def _choose(texts: pa.Array, toxic: np.ndarray, landmarks: int, cover: int = 8) -> list[np.ndarray]:
     """Substrings of 4 to 7 letters (a word's start counts as one) that mark class 1, picked
-    greedily so that each document of class 1 is covered up to three times."""
+    greedily so that each document of class 1 is covered up to ``cover`` times by landmarks that
+    stand in different documents."""
     data, offsets = text_buffer(texts)
     words = _split(data, offsets)
     if not len(words.row):
@@ -250,20 +251,30 @@ def _choose(texts: pa.Array, toxic: np.ndarray, landmarks: int) -> list[np.ndarr
             t = toxic[docs]
             p1, p0 = (t == 1).sum() / n1, ((t == 0).sum() + 0.5) / n0
             if p1 > 3 * p0 and (t == 1).sum() >= 3:
-                grams.append((p1 * np.log(p1 / p0), n, distinct.codes[i[first[g]] : i[first[g]] + n], docs[t == 1]))
-    grams.sort(key=lambda x: (-x[0], x[1]))
+                grams.append((p1 * np.log(p1 / p0) * (1 + n / 8), n, distinct.codes[i[first[g]] : i[first[g]] + n], docs[t == 1]))
+    grams.sort(key=lambda x: (-x[0], -x[1]))
     grams = grams[:4000]
-    need = np.where(toxic == 1, 3, 0)
     chosen: list[np.ndarray] = []
+    if not grams:
+        return chosen
     values = np.array([x[0] for x in grams])
-    while len(chosen) < landmarks and len(grams):
-        gain = np.array([(need[x[3]] > 0).sum() for x in grams]) * (values > 0)
-        if not len(gain) or gain.max() < 2:
+    held = np.zeros((len(grams), len(toxic)), np.float32)
+    for k, x in enumerate(grams):
+        held[k, x[3]] = 1
+    size = held.sum(axis=1)
+    need = np.where(toxic == 1, cover, 0)
+    while len(chosen) < landmarks:
+        gain = (held @ (need > 0).astype(np.float32)) * (values > 0)
+        if gain.max() < 2:
             break
         best = int((gain * (0.2 + values / values.max())).argmax())
         chosen.append(grams[best][2])
         need[grams[best][3]] -= 1
+        both = held @ held[best]
+        values[both > 0.7 * (size + size[best] - both)] = 0  # another spelling of the same evidence
         values[best] = 0
+        if not values.max():
+            break
     return chosen
 
 
