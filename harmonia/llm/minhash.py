@@ -121,38 +121,83 @@ def _verify(percent: int, n_words: int):
     return run
 
 
-def _residual(floor: float):
-    """Candidate pairs between different components among the rows of one block pair."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        node, comp, n = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-        side = table.column("side").to_numpy()
-        regs = unpack(_matrix(table.column("ks").combine_chunks()))
-        own = key[2].as_py() == key[3].as_py()
-        left, right = (np.flatnonzero(side == 0),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        pairs = []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if own else True)]
-            if not len(js):
-                continue
+def _untested(band: int, node: np.ndarray, comp: np.ndarray, n: np.ndarray, keys: np.ndarray, regs: np.ndarray, side: np.ndarray, own: bool, floor: float):
+    """For each row of one block pair, its likely partners in other components: pairs that meet in no
+    earlier band and of which neither is the bucket's pivot, so that each is examined once."""
+    left = np.flatnonzero(side == 0)
+    right = left if own else np.flatnonzero(side == 1)
+    for i in left:
+        js = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if own else True)]
+        if not len(js):
+            continue
+        js = js[(keys[js] == keys[i]).argmax(axis=1) == band]
+        small = np.minimum(n[js], n[i]) >= (floor - 0.02) * np.maximum(n[js], n[i])
+        js = js[small]
+        if len(js):
             est = likely_jaccard(
                 (regs[i] > regs[js]).sum(axis=1), (regs[i] < regs[js]).sum(axis=1), np.full(len(js), float(n[i])), n[js].astype(float)
             )
-            js = js[est >= floor]
-            pairs.append(np.stack([np.minimum(node[i], node[js]), np.maximum(node[i], node[js])], axis=1))
-        found = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-        return pa.table({"a": found[:, 0].astype(np.int64), "b": found[:, 1].astype(np.int64)})
+            keep = est >= floor
+            if keep.any():
+                yield i, js[keep], est[keep]
+
+
+def _block(key: tuple, table: pa.Table) -> tuple:
+    node, comp, n, side = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "side"))
+    keys = _matrix(table.column("ks").combine_chunks())
+    pivot = table.column("pivot").to_numpy() == node
+    side = np.where(pivot, -1, side)
+    return key[0].as_py(), node, comp, n, keys, unpack(keys), side, key[2].as_py() == key[3].as_py()
+
+
+def _promising(floor: float):
+    """Rows of one block pair that have a likely partner; linear in the rows, whatever the group."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        some = np.zeros(table.num_rows, bool)
+        for i, js, _ in _untested(*_block(key, table), floor):
+            some[i] = True
+            some[js] = True
+        return table.filter(pa.array(some))
+
+    return run
+
+
+def _settle(floor: float, percent: int, n_words: int):
+    """Verify likely partners on full sets, likeliest first, as long as their components differ."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        block = _block(key, table)
+        node, comp = block[1], block[2]
+        pairs = [(float(e), int(i), int(j)) for i, js, est in _untested(*block, floor) for j, e in zip(js, est, strict=True)]
+        pairs.sort(key=lambda x: (-x[0], x[1], x[2]))
+        sets = {r: shingle_set(w, n_words) for r, w in word_hashes(table.column("text").combine_chunks())}
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c] = parent.get(parent[c], parent[c])
+            return c
+
+        found = []
+        for _, i, j in pairs:
+            x, y = root(int(comp[i])), root(int(comp[j]))
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(x, y)] = min(x, y)
+                found.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, floor: float | None, percent: int, n_words: int) -> DataFrame:
-    """Pairs (a, b) that pass the estimate (unless done already) and the exact check, materialised."""
+def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, floor: float, percent: int, n_words: int) -> DataFrame:
+    """Pairs (a, b) that pass the estimate and the exact check, materialised."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.array(*KEYS).alias(f"k{x}"))
-    if floor is not None:
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb")
-        pairs = both.mapInArrow(_estimate(floor), "a long, b long")
-    pairs = stash(pairs.distinct())
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb")
+    pairs = stash(both.mapInArrow(_estimate(floor), "a long, b long").distinct())
     needed = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     own = texts.join(needed, "doc_id", "left_semi")
     text = lambda x: own.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
@@ -171,8 +216,9 @@ def near_duplicates(
     at least ``percent`` / 100.  Equal sets collapse to one representative; each representative's
     192 registers form 32 bands; every bucket's members meet the bucket's smallest member, are
     estimated jointly by likelihood and then verified on full sets.  Buckets that still hold
-    several components have their remaining cross-component pairs compared in blocks of sketches,
-    so no pair of a bucket goes unexamined and no group is expanded into all pairs.  At J = 0.85 a
+    several components have their remaining cross-component pairs examined within blocks of rows
+    (sketches first, then full sets), each pair once, and only links that join components leave a
+    block: no pair of a bucket goes unexamined and no group is expanded into rows of pairs.  At J = 0.85 a
     pair misses every band with probability below 1e-6 (2e-5 at 0.8).
 
     Null or blank texts have no shingles and link with nothing.  A null id is kept, with a null
@@ -201,7 +247,7 @@ def near_duplicates(
     labelled = (
         members.where("size > 2")
         .join(first, "node", "left")
-        .select("band", "key", "size", "node", F.coalesce("component", "node").alias("component"))
+        .select("band", "key", "size", "pivot", "node", F.coalesce("component", "node").alias("component"))
     )
     mixed = (
         labelled.groupBy("band", "key")
@@ -219,11 +265,12 @@ def near_duplicates(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "component", "n_shingles", "ks",
+            F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "pivot", "component", "n_shingles", "ks",
         )
     )
-    more = open_rows.groupBy("band", "key", "i", "j").applyInArrow(_residual(floor), "a long, b long")
-    later = _linked(more, reps, texts, None, percent, n_words)
+    promising = stash(open_rows.groupBy("band", "key", "i", "j").applyInArrow(_promising(floor), open_rows.schema))
+    full = promising.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    later = stash(full.groupBy("band", "key", "i", "j").applyInArrow(_settle(floor, percent, n_words), "a long, b long").distinct())
     contracted = (
         later.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -237,7 +284,7 @@ def near_duplicates(
         .join(second, "component", "left")
         .select("set_hi", "set_lo", F.coalesce("top", "component").alias("component_id"))
     )
-    discard(reps, buckets, links, first, mixed, later)
+    discard(reps, buckets, links, first, mixed, promising, later)
     of_set = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return (
         every.select("doc_id", "n_shingles", "set_hi", "set_lo")
