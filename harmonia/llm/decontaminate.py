@@ -20,7 +20,7 @@ UNITS = (
 )
 _NUMBER = r"(?<![^\s])[(\[\"'$€£+-]*([0-9][0-9.,:/]*)(%?)[)\]\"'.,;:!?]*(?![^\s])"
 _NUMBER_UNIT = rf"(?<![^\s])[(\[\"'$€£+-]*([0-9][0-9.,:/]*)((?i:{UNITS}))[)\]\"'.,;:!?]*(?![^\s])"
-_UNIT = rf"(#num:[^\s]*\s+)((?i:{UNITS}))[)\]\"'.,;:!?]*(?![^\s])"
+_UNIT = rf"(#num:[^\s]*\s+)(?:[^\p{{L}}\p{{N}}\s#]+\s+)?((?i:{UNITS}))[)\]\"'.,;:!?]*(?![^\s])"
 _NAME = r"(?<=[\p{Ll},;]\s)(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"
 
 
