@@ -104,13 +104,14 @@ def leaks(
     probes = probes.select("key", "doc_id", F.transform(_starts(F.col("words"), F.lit(step)), lambda i: _window(F.col("words"), i)).alias("h"))
     probes = probes.select("key", "doc_id", F.explode(F.array_distinct("h")).alias("hash"))
     wanted = stash(probes.join(small(bench.select("hash").distinct()), "hash", "left_semi").select("key").distinct())
-    texts = own.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    words = texts.select("key", "doc_id", tokens(F.col("text")).alias("full")).withColumn("canon", canonical(F.col("full")))
-    each = words.select("key", "doc_id", "full", "canon", F.explode(_starts(F.col("canon"), F.lit(1))).alias("at"))
-    each = each.select(
-        "key", "doc_id", "at", _window(F.col("canon"), F.col("at")).alias("hash"),
-        F.filter(F.slice("full", F.col("at") + 1, N), lambda x: x.startswith("#")).alias("values"),
-    )
+    words = own.join(wanted, "key", "left_semi").select("key", "doc_id", tokens(F.col("text")).alias("full"))
+    words = words.withColumn("canon", canonical(F.col("full")))
+    # Windows are built as one narrow array before they are exploded: no output row carries the text.
+    window = lambda i: F.struct(
+        i.alias("at"), _window(F.col("canon"), i).alias("hash"), F.filter(F.slice("full", i + 1, N), lambda x: x.startswith("#")).alias("values")
+    )
+    each = words.select("key", "doc_id", F.transform(_starts(F.col("canon"), F.lit(1)), window).alias("w"))
+    each = each.select("key", "doc_id", F.explode("w").alias("w")).select("key", "doc_id", "w.*")
     met = stash(
         each.join(small(bench), "hash").select(
             "key", "doc_id", "item_id", "windows", "at", "place", (F.col("at") - F.col("place")).alias("line"), "slots", "values"

@@ -106,13 +106,14 @@ def license_scan(
     for t in sorted(prefix, key=place.get):
         if often.get(t, 0):
             some = some | F.contains(F.lower("text"), F.lit(t))
+    block = lambda i: F.struct(i.alias("at"), F.array_intersect(_literal(ranked), F.slice("w", i + 1, WINDOW)).alias("b"))
     blocks = (
         own.where(some)
         .select(key.alias("key"), words_of(F.col("text")).alias("w"))
         .where(F.arrays_overlap("w", _literal(sorted(prefix))))
-        .dropDuplicates(["key"])
-        .select("key", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2))).alias("at"))
-        .select("key", "at", F.array_intersect(_literal(ranked), F.slice("w", F.col("at") + 1, WINDOW)).alias("b"))
+        .select("key", F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2)), block).alias("blocks"))
+        .select("key", F.explode("blocks").alias("x"))
+        .select("key", "x.*")
     )
     met = blocks.select("key", "at", "b", F.posexplode("b").alias("j", "t")).join(F.broadcast(table), "t")
     met = met.where((F.size("b") >= F.col("need")) & (F.least(F.col("size") - F.col("i"), F.size("b") - F.col("j")) + F.least("i", "j") >= F.col("need")))
