@@ -476,7 +476,7 @@ def leakage_safe_ell(spark, d):
 
 
 @query(f"""WITH {BLOCKS_SQL}, x AS (SELECT idx1, idx2, LENGTH(REGEXP_REPLACE(a1 || a2 || b1 || b2, '[^EB]', '', 'g')) AS n_e FROM blocks)
-SELECT idx1, idx2, CAST(n_e AS INTEGER) AS n_e, ROUND(0.5 * n_e * 0.013, 8) + 0.0 AS bias FROM x""")
+SELECT idx1, idx2, CAST(n_e AS INTEGER) AS n_e, ROUND(CAST(0.5 * n_e AS DOUBLE) * CAST(0.013 AS DOUBLE), 8) + 0.0 AS bias FROM x""")
 def error_budget(spark, d):
     b = K.block_positions(K.spectrum_keys(*fields(spark))).select("idx1", "idx2", F.concat("a_s1", "a_s2").alias("stokes1"), F.concat("b_s1", "b_s2").alias("stokes2"))
     return R.error_budget(b, F.lit(0.013)).select("idx1", "idx2", "n_e", r("bias").alias("bias"))
@@ -576,7 +576,7 @@ def rings(spark: SparkSession) -> DataFrame:
     return i.crossJoin(m).withColumn("s", F.sin((F.col("ring") + 0.5) * F.lit(math.pi) / 16))
 
 
-@query(f"{_RINGS} SELECT ring, m, CASE WHEN m = 0 THEN 0.0 WHEN m > 10.0 * s THEN 1.0 ELSE 0.0 END AS sharp, ROUND(CASE WHEN m = 0 THEN 0.0 ELSE EXP(-POW(10.0 * s / m, 6)) END, 8) + 0.0 AS smooth, ROUND((CASE WHEN m = 0 THEN 0.0 ELSE EXP(-POW(10.0 * s / m, 6)) END) * (CASE WHEN m = 0 THEN 1.0 ELSE EXP(-POW(m / (30.0 * s), 6)) END), 8) + 0.0 AS both FROM p")
+@query(f"{_RINGS} SELECT ring, m, CASE WHEN m = 0 THEN 0.0::DOUBLE WHEN m > 10.0 * s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sharp, ROUND(CASE WHEN m = 0 THEN 0.0 ELSE EXP(-POW(10.0 * s / m, 6)) END, 8) + 0.0 AS smooth, ROUND((CASE WHEN m = 0 THEN 0.0 ELSE EXP(-POW(10.0 * s / m, 6)) END) * (CASE WHEN m = 0 THEN 1.0 ELSE EXP(-POW(m / (30.0 * s), 6)) END), 8) + 0.0 AS both FROM p")
 def ring_filters(spark, d):
     smooth = C.highpass("m", "s", 10.0, "exp")
     return rings(spark).select("ring", "m", C.highpass("m", "s", 10.0).alias("sharp"), r(smooth).alias("smooth"), r(smooth * C.lowpass("m", "s", 30.0)).alias("both"))

@@ -30,6 +30,9 @@ def compare(spark, con, sf_dir, query, sql):
     names = [x[0] for x in cur.description]
     want = rows_of(names, cur.fetchall())
     assert sorted(df.columns) == sorted(names)
+    kinds = {"double": "DOUBLE", "int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    want_types = {x[0]: str(x[1]) for x in cur.description}
+    assert {k: kinds.get(t, t) for k, t in df.dtypes} == want_types
     assert len(got) == len(want), (len(got), len(want))
     bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
     assert not bad, (len(bad), bad[:3])
