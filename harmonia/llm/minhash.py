@@ -15,6 +15,8 @@ from ._words import shingle_set, word_hashes
 
 BANDS, ROWS, BASE, LOWEST = 32, 6, 1.2, 12
 BLOCK = 256
+#: So many ids (16 bytes each in a hash relation) may be broadcast to filter texts before a shuffle.
+MOST_BROADCAST = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)[:, None]
 _MUL = (_rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -193,13 +195,19 @@ def _settle(floor: float, percent: int, n_words: int):
     return run
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts whose id is listed: a broadcast up to MOST_BROADCAST counted ids, a shuffle beyond."""
+    small = ids.count() <= MOST_BROADCAST
+    return texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
 def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, floor: float, percent: int, n_words: int) -> DataFrame:
     """Pairs (a, b) that pass the estimate and the exact check, materialised."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.array(*KEYS).alias(f"k{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb")
     pairs = stash(both.mapInArrow(_estimate(floor), "a long, b long").distinct())
     needed = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    own = texts.join(needed, "doc_id", "left_semi")
+    own = _only(texts, needed)
     text = lambda x: own.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     full = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb")
     links = stash(full.mapInArrow(_verify(percent, n_words), "a long, b long").distinct())
@@ -269,7 +277,8 @@ def near_duplicates(
         )
     )
     promising = stash(open_rows.groupBy("band", "key", "i", "j").applyInArrow(_promising(floor), open_rows.schema))
-    full = promising.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    needed = stash(promising.select(F.col("node").alias("doc_id")).distinct())
+    full = promising.join(_only(texts, needed).select(F.col("doc_id").alias("node"), "text"), "node")
     later = stash(full.groupBy("band", "key", "i", "j").applyInArrow(_settle(floor, percent, n_words), "a long, b long").distinct())
     contracted = (
         later.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
@@ -284,7 +293,7 @@ def near_duplicates(
         .join(second, "component", "left")
         .select("set_hi", "set_lo", F.coalesce("top", "component").alias("component_id"))
     )
-    discard(reps, buckets, links, first, mixed, promising, later)
+    discard(reps, buckets, links, first, mixed, promising, needed, later)
     of_set = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return (
         every.select("doc_id", "n_shingles", "set_hi", "set_lo")
