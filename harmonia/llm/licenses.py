@@ -72,7 +72,7 @@ def license_scan(
     Tokens are ordered by how many documents of the corpus hold them, rarest first; a block is a
     candidate only through a token of the template's prefix, with enough tokens, and if the places of
     that token in both orders leave enough tokens behind it; candidates are then verified.
-    ``score`` is the largest containment found (1 with a base place, 0 without any candidate), and
+    ``score`` is the largest containment of a match (1 with a base place, 0 without a match), and
     ``n_blocks`` counts (block, template) matches.
 
     Null and empty texts have no words; first and last word are null without a place.  Repeated rows
@@ -129,7 +129,7 @@ def license_scan(
     judged = candidates.select("key", "at", "template", share.alias("share"), needed.alias("least"), label.alias("label"))
     method = stash(
         judged.groupBy("key").agg(
-            F.max("share").alias("share"), F.collect_set(F.when(F.col("share") >= F.col("least"), F.col("label"))).alias("found"),
+            F.max(F.when(F.col("share") >= F.col("least"), F.col("share"))).alias("share"), F.collect_set(F.when(F.col("share") >= F.col("least"), F.col("label"))).alias("found"),
             F.count(F.when(F.col("share") >= F.col("least"), F.lit(1))).alias("n_blocks"),
         )
     )
