@@ -105,7 +105,8 @@ def leaks(
     probes = probes.select("key", "doc_id", F.explode(F.array_distinct("h")).alias("hash"))
     wanted = stash(probes.join(small(bench.select("hash").distinct()), "hash", "left_semi").select("key").distinct())
     words = own.join(wanted, "key", "left_semi").select("key", "doc_id", tokens(F.col("text")).alias("full"))
-    words = words.withColumn("canon", canonical(F.col("full")))
+    # Materialised: inlined into the window function below, tokens would be made anew for every window.
+    words = stash(words.withColumn("canon", canonical(F.col("full"))))
     # Windows are built as one narrow array before they are exploded: no output row carries the text.
     window = lambda i: F.struct(
         i.alias("at"), _window(F.col("canon"), i).alias("hash"), F.filter(F.slice("full", i + 1, N), lambda x: x.startswith("#")).alias("values")
@@ -117,6 +118,7 @@ def leaks(
             "key", "doc_id", "item_id", "windows", "at", "place", (F.col("at") - F.col("place")).alias("line"), "slots", "values"
         )
     )
+    discard(wanted, words, bench)
     pairs = (
         met.where(F.size("slots") > 0)
         .select("key", "item_id", "line", F.explode(F.arrays_zip("slots", "values")).alias("p"))
