@@ -1,0 +1 @@
+"""Reserved.  A covariance run is a batch computation over bounded tables; nothing here is streamed."""
