@@ -99,6 +99,30 @@ def exact_rows(cl: DataFrame, mask: Callable[[np.ndarray, np.ndarray], np.ndarra
     return asked.mapInArrow(run, "l1 int, l2 int, v double")
 
 
+def exact_rows_polarised(
+    spectra: DataFrame, mask: Callable[[np.ndarray, np.ndarray], np.ndarray], lmax: int, rows: Sequence[int], blocks: Sequence[tuple[str, str]], lw: int | None = None
+) -> DataFrame:
+    """(left, right, l1, l2, v): rows l2 of the exact covariance of polarised spectra ``spectra(stokes, ell, v)``, a task for each row."""
+    names = [r.stokes for r in spectra.select("stokes").distinct().collect()]
+    cl = {s: vector(spectra.where(F.col("stokes") == s), "ell", "v", lmax + 1) for s in names}
+    lg, wanted = lmax + (lw if lw is not None else lmax), list(blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = N.Grid(lmax, lg)
+        phi = 2 * np.pi * np.arange(grid.n_phi) / grid.n_phi
+        window = mask(grid.mu[:, None], phi[None, :])
+        for b in batches:
+            for ell in b.column(0).to_pylist():
+                for (left, right), v in N.exact_row_polarised(window, grid, cl, ell, wanted).items():
+                    n = lmax + 1
+                    columns = [pa.array([left] * n), pa.array([right] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array([ell] * n, pa.int32()), pa.array(v)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["left", "right", "l1", "l2", "v"])
+
+    order = sorted(rows, reverse=True)
+    asked = spectra.sparkSession.createDataFrame([(int(x),) for x in order], "ell int").repartition(min(len(order), 512) or 1, "ell")
+    return asked.mapInArrow(run, "left string, right string, l1 int, l2 int, v double")
+
+
 def eigenvalues(matrix: DataFrame) -> DataFrame:
     """(g, k, value): ascending eigenvalues of each symmetrised binned matrix (a matrix fits one task)."""
 

@@ -120,20 +120,26 @@ def inka_spectra(spectra: DataFrame, master: DataFrame) -> DataFrame:
     return joined.groupBy("canon", "stokes", F.col("l1").alias("ell")).agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
 
-def acc_bands(products: DataFrame, spectra: DataFrame, kernels: DataFrame, xi: DataFrame, *, l_star: int, dmax: int) -> DataFrame:
+def acc_bands(products: DataFrame, spectra: DataFrame, kernels: DataFrame, xi: DataFrame, *, l_star: int, dmax: int, mirrored: DataFrame | None = None) -> DataFrame:
     """Blocks of the precomputed-kernel approximation, |l1 - l2| < dmax.
 
     ``products(id, coef, left, ch1, right, ch2, norm)``; ``kernels(ch1, ch2, d, i, j, v)`` with unit sum at the central
     multipole; element (m, m + d) = sum coef C_left[m - l* + i] K_ij C_right[m - l* + j] Xi[m, m + d].  The shift by
-    m turns the sliding window into two equi-joins; indices below 0 contribute nothing."""
-    k = kernels.where(F.col("d") < dmax).join(F.broadcast(products), ["ch1", "ch2"])
+    m turns the sliding window into two equi-joins; indices below 0 contribute nothing.  The lower
+    triangle comes from ``mirrored`` products (both keys swapped); without them blocks are symmetric."""
     left = spectra.select(F.col("canon").alias("left"), F.col("ell").alias("p"), F.col("v").alias("cl"))
     right = spectra.select(F.col("canon").alias("right"), F.col("ell").alias("q"), F.col("v").alias("cr"))
-    shifted = k.join(left, "left").withColumn("m", F.col("p") + l_star - F.col("i")).where("m >= 0").withColumn("q", F.col("m") - l_star + F.col("j"))
-    sums = shifted.join(right, ["right", "q"]).groupBy("id", "norm", "d", "m").agg(F.sum(F.col("coef") * F.col("cl") * F.col("v") * F.col("cr")).alias("s"))
     x = xi.select("norm", F.col("l1").alias("m"), (F.col("l2") - F.col("l1")).alias("d"), F.col("v").alias("x"))
-    upper = sums.join(x, ["norm", "m", "d"]).groupBy("id", F.col("m").alias("l1"), (F.col("m") + F.col("d")).alias("l2")).agg(F.sum(F.col("s") * F.col("x")).alias("v"))
-    return upper.unionByName(transpose(upper.where("l1 <> l2")))
+
+    def upper(which: DataFrame) -> DataFrame:
+        k = kernels.where(F.col("d") < dmax).join(F.broadcast(which), ["ch1", "ch2"])
+        shifted = k.join(left, "left").withColumn("m", F.col("p") + l_star - F.col("i")).where("m >= 0").withColumn("q", F.col("m") - l_star + F.col("j"))
+        sums = shifted.join(right, ["right", "q"]).groupBy("id", "norm", "d", "m").agg(F.sum(F.col("coef") * F.col("cl") * F.col("v") * F.col("cr")).alias("s"))
+        return sums.join(x, ["norm", "m", "d"]).groupBy("id", F.col("m").alias("l1"), (F.col("m") + F.col("d")).alias("l2")).agg(F.sum(F.col("s") * F.col("x")).alias("v"))
+
+    up = upper(products)
+    below = up if mirrored is None else upper(mirrored)
+    return up.unionByName(transpose(below.where("l1 <> l2")))
 
 
 def full_matrix(blocks: DataFrame) -> DataFrame:

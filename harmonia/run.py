@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
@@ -136,16 +136,51 @@ STRATEGIES = {
 }
 
 
-def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray, square_wl: np.ndarray) -> Result:
-    """The covariance of a run from the spectra of its mask and of the mask's square."""
+def acc_products(keys: DataFrame, norms: DataFrame, swapped: bool) -> DataFrame:
+    """Wick products of every block with kernel channels in the letters' own order."""
+    b = K.block_positions(keys)
+    if swapped:
+        turn = {x: x.replace("a_", "_").replace("b_", "a_").replace("_", "b_", 1) if x.startswith("a_") else x.replace("b_", "a_") for x in b.columns if x[:2] in ("a_", "b_")}
+        b = b.select("idx1", "idx2", *[F.col(x).alias(y) for x, y in turn.items()])
+    p = K.contractions(b).join(F.broadcast(norms), ["left_stokes", "right_stokes"])
+    channel = lambda x: F.translate(x, "TEB", "TDL")
+    return p.select(F.struct("idx1", "idx2").alias("id"), F.lit(1).alias("coef"), "left", channel("left_stokes").alias("ch1"), "right", channel("right_stokes").alias("ch2"), "norm")
+
+
+def acc_blocks(spark: SparkSession, cfg: Config, keys: DataFrame, spectra: DataFrame, couplings: DataFrame, xi: DataFrame) -> DataFrame:
+    """Banded blocks of T and E spectra from kernels (ch1, ch2, d, i, j, v) precomputed at the central multipole.
+
+    Both orders of a channel pair are served, the second as the transpose; kernels are scaled to unit sum."""
+    both = couplings.unionByName(couplings.where("ch1 <> ch2").select(F.col("ch2").alias("ch1"), F.col("ch1").alias("ch2"), "d", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    both = R.unit_sum(both, ["ch1", "ch2", "d"])
+    plans = [acc_products(keys, K.norm_table(spark), swapped) for swapped in (False, True)]
+    lost = K.missing(K.required_pairs(plans[0].unionByName(plans[1])), both.select("ch1", "ch2").distinct()).collect()
+    if lost:
+        raise ValueError(f"kernels are missing for {sorted((r.ch1, r.ch2) for r in lost)}")
+    out = R.acc_bands(plans[0], spectra, both, xi, l_star=cfg.central_ell, dmax=cfg.dmax, mirrored=plans[1])
+    return out.select("id.idx1", "id.idx2", "l1", "l2", "v")
+
+
+def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray, square_wl: np.ndarray, couplings: DataFrame | None = None) -> Result:
+    """The covariance of a run from the spectra of its mask and of the mask's square.
+
+    The method acc takes kernels from ``operators.sky.coupling_kernels`` as well; spectra are then read
+    as far beyond lmax as the kernels reach."""
     cfg = Config.of(params)
-    if cfg.method not in STRATEGIES:
-        raise ValueError(f"{cfg.method} blocks need precomputed kernels; see operators.relational.acc_bands")
-    keys, spectra, debias = model(spark, cfg)
     xi, smooth = kernels(spark, cfg, mask_wl, square_wl)
-    spectra = STRATEGIES[cfg.method](spectra, smooth)
-    products = K.contractions(K.block_positions(keys, cfg.parity_mixed))
-    blocks = R.nka_blocks(products, R.spectra_arrays(spectra, cfg.lmax - 1), xi, K.norm_table(spark))
+    if cfg.method == "acc":
+        if couplings is None or any("B" in o for o in cfg.observables):
+            raise ValueError("acc needs precomputed kernels, and T and E observables only")
+        reach = couplings.agg(F.max("j")).first()[0]
+        padded = replace(cfg, lmax=cfg.lmax + max(0, reach - cfg.central_ell))
+        keys, spectra, debias = model(spark, padded)
+        debias = debias.where(F.col("ell") < cfg.lmax)
+        blocks = acc_blocks(spark, cfg, keys, spectra, couplings, xi)
+    else:
+        keys, spectra, debias = model(spark, cfg)
+        spectra = STRATEGIES[cfg.method](spectra, smooth)
+        products = K.contractions(K.block_positions(keys, cfg.parity_mixed))
+        blocks = R.nka_blocks(products, R.spectra_arrays(spectra, cfg.lmax - 1), xi, K.norm_table(spark))
     table = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cfg.edges[:-1], cfg.edges[1:], strict=True))]
     bins = spark.createDataFrame(table, "bin int, lo int, hi int")
     weights = R.bin_weights(S.grid(spark, cfg.lmax), bins, lmin=cfg.lmin, flatten=not cfg.use_dl)

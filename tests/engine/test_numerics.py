@@ -102,6 +102,22 @@ def test_exact_rows(spark):
     assert {r.l1: r.v for r in flat}[5] == pytest.approx(2 * (1 / 36) ** 2 / 11, rel=1e-10)
 
 
+def test_exact_polarised_rows(spark):
+    n = 7
+    cl = {"TT": 1 / (1.0 + np.arange(n)) ** 2, "EE": 0.4 / (1.0 + np.arange(n)), "BB": 0.1 / (1.0 + np.arange(n)), "TE": 0.2 / (1.0 + np.arange(n)) ** 2}
+    df = spark.createDataFrame([(s, k, float(v)) for s, c in cl.items() for k, v in enumerate(c)], "stokes string, ell int, v double")
+    blocks = [("TT", "EE"), ("EE", "EE"), ("TT", "TT"), ("TE", "TE"), ("EE", "TT")]
+    flat = dense.exact_rows_polarised(df, lambda mu, phi: mu * 0 + phi * 0 + 1, n - 1, [4], blocks).collect()
+    m = {(r.left, r.right, r.l1): r.v for r in flat}
+    assert m["TT", "EE", 4] == pytest.approx(2 * cl["TE"][4] ** 2 / 9) and m["EE", "EE", 4] == pytest.approx(2 * cl["EE"][4] ** 2 / 9)
+    assert m["TE", "TE", 4] == pytest.approx((cl["TE"][4] ** 2 + cl["TT"][4] * cl["EE"][4]) / 9) and abs(m["EE", "EE", 3]) < 1e-12
+    cut = dense.exact_rows_polarised(df, patch, n - 1, [3, 5], blocks, lw=12).collect()
+    m = {(r.left, r.right, r.l1, r.l2): r.v for r in cut}
+    assert m["TT", "EE", 3, 5] == pytest.approx(m["EE", "TT", 5, 3], rel=1e-6) and m["TE", "TE", 3, 5] == pytest.approx(m["TE", "TE", 5, 3], rel=1e-6)
+    one = dense.exact_rows(df.where("stokes = 'TT'").select("ell", "v"), patch, n - 1, [5], lw=12).collect()
+    assert all(m["TT", "TT", r.l1, 5] == pytest.approx(r.v, rel=1e-9, abs=1e-14) for r in one)
+
+
 def test_map_spectra_of_a_band_limited_map():
     nside = 8
     z, _, n = sky.ring_layout(nside)

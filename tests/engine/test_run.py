@@ -4,6 +4,8 @@ import os
 import numpy as np
 import pytest
 import yaml
+from pyspark.sql import functions as F
+
 from harmonia import cli
 from harmonia.config import Config, Report, bin_edges, may_rebin, observables_of
 from harmonia.operators import sky
@@ -51,6 +53,18 @@ def test_methods_agree_on_the_full_sky_and_matrix_is_sound(spark, tmp_path):
     assert folded.shape[0] < one.shape[0] and (np.diag(folded) > 0).all()
 
 
+def test_precomputed_kernels_on_the_full_sky_give_the_narrow_kernel(spark, tmp_path):
+    pairs = [(a, b) for a in ("TT", "DD", "TD", "DT") for b in ("TT", "DD", "TD", "DT")]
+    made = sky.coupling_kernels(spark, lambda mu, phi: mu * 0 + phi * 0 + 1.0, 6, 2, 4, 2, pairs)
+    made = made.withColumn("v", F.when(F.abs("v") < 1e-9, 0.0).otherwise(F.col("v"))).cache()
+    more = {"covariance_approximation": "acc", "dmax": 2, "centralell": 4, "bins": [[4, 10, 3], [10, 24, 7]]}
+    acc = covariance(spark, params(tmp_path, **more), FULL, FULL, made).dense()
+    nka = covariance(spark, params(tmp_path, bins=more["bins"]), FULL, FULL).dense()
+    assert np.allclose(acc, nka, rtol=1e-6, atol=1e-9 * np.abs(nka).max())
+    with pytest.raises(ValueError, match="missing"):
+        covariance(spark, params(tmp_path, **more), FULL, FULL, made.where("ch1 = 'TT'"))
+
+
 def test_whole_run(spark, tmp_path):
     z, _, n = sky.ring_layout(8)
     mask = np.repeat(np.clip(0.5 * (1 + np.cos(np.pi * np.arccos(z) / 2.2)), 0, 1) * (np.arccos(z) < 2.2), n)
