@@ -307,5 +307,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", percent: in
     """``docs`` with one document of each near-duplicate group (the smallest id), all columns kept.
     Rows with a null id stay; rows that repeat a kept id stay once."""
     gone = near_duplicates(docs, id_col=id_col, percent=percent, **more).where("not kept").select(F.col("doc_id").alias(id_col))
-    named = docs.where(F.col(id_col).isNotNull()).join(gone.distinct(), id_col, "left_anti").dropDuplicates([id_col])
-    return named.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    gone = stash(gone.distinct())
+    twice = stash(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    side = lambda ids: F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    kept = docs.join(side(gone), id_col, "left_anti")
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(side(twice), id_col, "left_anti").select(docs.columns)
+    return once.unionByName(kept.join(side(twice), id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns))
