@@ -120,28 +120,96 @@ def inka_spectra(spectra: DataFrame, master: DataFrame) -> DataFrame:
     return joined.groupBy("canon", "stokes", F.col("l1").alias("ell")).agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
 
-def acc_bands(products: DataFrame, spectra: DataFrame, kernels: DataFrame, xi: DataFrame, *, l_star: int, dmax: int, mirrored: DataFrame | None = None) -> DataFrame:
+def acc_bands(
+    products: DataFrame, spectra: DataFrame, kernels: DataFrame, xi: DataFrame, *, l_star: int, dmax: int, mirrored: DataFrame | None = None, by: Sequence[str] = ("norm",)
+) -> DataFrame:
     """Blocks of the precomputed-kernel approximation, |l1 - l2| < dmax.
 
     ``products(id, coef, left, ch1, right, ch2, norm)``; ``kernels(ch1, ch2, d, i, j, v)`` with unit sum at the central
     multipole; element (m, m + d) = sum coef C_left[m - l* + i] K_ij C_right[m - l* + j] Xi[m, m + d].  The shift by
     m turns the sliding window into two equi-joins; indices below 0 contribute nothing.  The lower
-    triangle comes from ``mirrored`` products (both keys swapped); without them blocks are symmetric."""
+    triangle comes from ``mirrored`` products (both keys swapped); without them blocks are symmetric.
+    ``xi`` may instead hold ``term_scale`` rows, joined ``by`` the channel pair, with raw kernels."""
     left = spectra.select(F.col("canon").alias("left"), F.col("ell").alias("p"), F.col("v").alias("cl"))
     right = spectra.select(F.col("canon").alias("right"), F.col("ell").alias("q"), F.col("v").alias("cr"))
-    x = xi.select("norm", F.col("l1").alias("m"), (F.col("l2") - F.col("l1")).alias("d"), F.col("v").alias("x"))
+    scale = xi if "x" in xi.columns else xi.select("norm", F.col("l1").alias("m"), (F.col("l2") - F.col("l1")).alias("d"), F.col("v").alias("x"))
+    key = list(by)
 
     def upper(which: DataFrame) -> DataFrame:
         k = kernels.where(F.col("d") < dmax).join(F.broadcast(which), ["ch1", "ch2"])
         shifted = k.join(left, "left").withColumn("m", F.col("p") + l_star - F.col("i")).where("m >= 0").withColumn("q", F.col("m") - l_star + F.col("j"))
-        sums = shifted.join(right, ["right", "q"]).groupBy("id", "norm", "d", "m").agg(F.sum(F.col("coef") * F.col("cl") * F.col("v") * F.col("cr")).alias("s"))
-        return sums.join(x, ["norm", "m", "d"]).groupBy("id", F.col("m").alias("l1"), (F.col("m") + F.col("d")).alias("l2")).agg(F.sum(F.col("s") * F.col("x")).alias("v"))
+        sums = shifted.join(right, ["right", "q"]).groupBy("id", *key, "d", "m").agg(F.sum(F.col("coef") * F.col("cl") * F.col("v") * F.col("cr")).alias("s"))
+        return sums.join(scale, [*key, "m", "d"]).groupBy("id", F.col("m").alias("l1"), (F.col("m") + F.col("d")).alias("l2")).agg(F.sum(F.col("s") * F.col("x")).alias("v"))
 
     up = upper(products)
     below = up if mirrored is None else upper(mirrored)
     return up.unionByName(transpose(below.where("l1 <> l2")))
 
 
+def term_scale(xi: DataFrame, sums: DataFrame, l_star: int) -> DataFrame:
+    """(ch1, ch2, d, m, x): what each Wick term of a run with leakage is multiplied by, raw kernels given.
+
+    ``xi(l1, l2, x00, x20, xee, xeb)``, ``sums(ch1, ch2, d, s)`` with s the raw kernel's sum.  The term's norm is
+    Xi^(w) rho^(k/2) c over that sum: w is half its letters other than T, k its leaked ones, rho = xeb / xee, and c by
+    class - scalar pairs take Xi^00 itself; without leaked letters 1 - c falls as rho; pairs of mixed letters
+    relax from c at the central multipole to a quarter; all others keep it."""
+    rho = F.greatest(safe_divide("xeb", "xee"), F.lit(0.0))
+    base = xi.withColumn("rho", rho).where("l2 >= l1").withColumn("d", F.col("l2") - F.col("l1"))
+    letters = F.concat("ch1", "ch2")
+    pairs = sums.withColumn("w", F.length(F.regexp_replace(letters, "T", "")) / 2).withColumn("k", F.length(F.regexp_replace(letters, "[^L]", "")))
+
+    def norm(p: str) -> Column:
+        x = {n: F.col(p + n) for n in ("x00", "x20", "xee", "rho")}
+        between = x["x00"] * F.pow(F.greatest(safe_divide(x["x20"], x["x00"]), F.lit(0.0)), F.col("w"))
+        ladder = F.when(F.col("w") == 0, x["x00"]).when(F.col("w") == 1, x["x20"]).when(F.col("w") == 2, x["xee"]).otherwise(between)
+        return ladder * F.when(F.col("k") == 0, 1.0).otherwise(F.pow(x["rho"], F.col("k") / 2))
+
+    star = base.where(F.col("l1") == l_star).select("d", *[F.col(n).alias(f"s_{n}") for n in ("x00", "x20", "xee", "rho")])
+    own = F.broadcast(pairs.join(star, "d").withColumn("star", norm("s_")))
+    rows = base.join(own, "d").withColumn("here", norm(""))
+    n_star = (2 * l_star + 1) * (2 * (l_star + F.col("d")) + 1)
+    bad = ~(F.col("star") > 0)
+    c_star = F.when(bad, F.raise_error(F.concat(F.lit("norm not positive at the central multipole: "), letters))).otherwise(F.try_divide("s", n_star * F.col("star")))
+    sign = F.when(c_star >= 0, 1.0).otherwise(-1.0)
+    relax = (2 * l_star + F.col("d") + 1) / (2 * F.col("l1") + F.col("d") + 1)
+    cross = sign * F.least(F.greatest(sign * (0.25 * sign + (c_star - 0.25 * sign) * relax), F.lit(0.0)), F.lit(0.5))
+    deficit = 1 - (1 - c_star) * F.try_divide("rho", "s_rho")
+    mixed = ["TL", "LT", "DL", "LD"]
+    c = F.when(F.col("k") == 0, deficit).when((F.col("ch1") != "LL") & (F.col("ch2") != "LL") & F.col("ch1").isin(mixed) & F.col("ch2").isin(mixed), cross).otherwise(c_star)
+    scale = F.when((F.col("ch1") == "TT") & (F.col("ch2") == "TT"), F.try_divide("x00", "s"))
+    scale = scale.when((F.col("k") > 0) & ~(F.col("ch1").isin(mixed) & F.col("ch2").isin(mixed)), F.try_divide("here", n_star * F.col("star")))
+    return rows.select("ch1", "ch2", "d", F.col("l1").alias("m"), scale.otherwise(F.try_divide(F.col("here") * c, F.col("s"))).alias("x"))
+
+
+def leakage_ratio(sums: DataFrame) -> DataFrame:
+    """lambda = sum TT x LL / sum TT x DD, for each distance d."""
+    pick = lambda b: F.sum(F.when((F.col("ch1") == "TT") & (F.col("ch2") == b), F.col("s")))
+    return sums.groupBy("d").agg(safe_divide(pick("LL"), pick("DD")).alias("ratio"))
+
+
+def orient(kernel: DataFrame) -> DataFrame:
+    """(l1, l2, v) with the (2 l2 + 1) factor on the second index, transposing a table that has it on the first."""
+    sides = kernel.join(transpose(kernel).withColumnRenamed("v", "t"), ["l1", "l2"])
+    gap = lambda a, b: F.max(F.abs(F.col("v") / F.lit(1.0) * (2 * F.col(a) + 1) - F.col("t") * (2 * F.col(b) + 1)))
+    kept = sides.agg(gap("l1", "l2").alias("second"), gap("l2", "l1").alias("first"))
+    right = kernel.crossJoin(F.broadcast(kept.where("second <= first"))).select("l1", "l2", "v")
+    return right.unionByName(transpose(kernel).crossJoin(F.broadcast(kept.where("second > first"))).select("l1", "l2", "v"))
+
+
+def mix_sources(blocks: DataFrame, bridge: DataFrame, legs: DataFrame) -> DataFrame:
+    """Post-processed blocks of spectra that mix several pseudo-spectra.
+
+    ``bridge(out, src, kernel)`` lists the sources of a spectrum, ``legs(kernel, l1, l2, v)`` the kernels; every output
+    block is the sum over the sources of both legs.  ``blocks(idx1, idx2, l1, l2, v)`` must hold both orders."""
+    left = F.broadcast(bridge.toDF("out1", "idx1", "kernel"))
+    one = blocks.join(left, "idx1").join(legs.select("kernel", F.col("l1").alias("p"), F.col("l2").alias("l1"), F.col("v").alias("g")), ["kernel", "l1"])
+    half = one.groupBy("out1", "idx2", F.col("p").alias("l1"), "l2").agg(F.sum(F.col("v") * F.col("g")).alias("v"))
+    right = F.broadcast(bridge.toDF("out2", "idx2", "kernel"))
+    two = half.join(right, "idx2").join(legs.select("kernel", F.col("l1").alias("q"), F.col("l2"), F.col("v").alias("g")), ["kernel", "l2"])
+    out = two.groupBy("out1", "out2", "l1", F.col("q")).agg(F.sum(F.col("v") * F.col("g")).alias("v"))
+    return out.select(F.col("out1").alias("idx1"), F.col("out2").alias("idx2"), "l1", F.col("q").alias("l2"), "v")
+
+
 def full_matrix(blocks: DataFrame) -> DataFrame:
     """Both triangles of binned blocks (idx1, idx2, bin1, bin2, v) as (spec1, bin1, spec2, bin2, v)."""
     up = blocks.select(F.col("idx1").alias("spec1"), "bin1", F.col("idx2").alias("spec2"), "bin2", "v")

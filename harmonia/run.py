@@ -161,6 +161,43 @@ def acc_blocks(spark: SparkSession, cfg: Config, keys: DataFrame, spectra: DataF
     return out.select("id.idx1", "id.idx2", "l1", "l2", "v")
 
 
+def leakage_products(spark: SparkSession, keys: DataFrame, parity_mixed: bool, swapped: bool) -> DataFrame:
+    """Wick products of every block with E-B leakage: (id, coef, left, ch1, right, ch2)."""
+    b = K.block_positions(keys, parity_mixed)
+    one, two = ("b", "a") if swapped else ("a", "b")
+    leg = lambda k, n: [F.col(f"{k}_s{n}"), F.col(f"{k}_f{n}")]
+    legs = {"p": leg(one, 1), "q": leg(one, 2), "r": leg(two, 1), "s": leg(two, 2)}
+    parts = []
+    for term, order in enumerate(("prqs", "psqr")):
+        named = [x.alias(n) for k, letter in zip(order, "wxyz", strict=True) for x, n in zip(legs[k], (letter, f"f{letter}"), strict=True)]
+        parts.append(b.select("idx1", "idx2", F.lit(term).alias("term"), *named))
+    every = parts[0].unionByName(parts[1]).withColumn("id", F.struct("idx1", "idx2", "term"))
+    columns = spark.createDataFrame(K.COLUMNS, "letter string, true string, kernel string, sign int")
+    terms = K.wick_with_b(every.select("id", *"wxyz"), columns).join(every.select("id", "fw", "fx", "fy", "fz"), "id")
+    at = lambda c, k: F.substring(c, k, 1)
+    return terms.select(
+        F.struct("id.idx1", "id.idx2").alias("id"), "coef", C.canonical_key(at("left", 1), at("left", 2), "fw", "fx").alias("left"), "ch1",
+        C.canonical_key(at("right", 1), at("right", 2), "fy", "fz").alias("right"), "ch2",
+    )
+
+
+def leakage_blocks(spark: SparkSession, cfg: Config, keys: DataFrame, spectra: DataFrame, couplings: DataFrame, square_wl: np.ndarray) -> DataFrame:
+    """Banded blocks of a run with B observables: every block, T and E ones too, term by term."""
+    both = couplings.unionByName(couplings.where("ch1 <> ch2").select(F.col("ch2").alias("ch1"), F.col("ch1").alias("ch2"), "d", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    wl = spark.createDataFrame([(k, float(v)) for k, v in enumerate(square_wl)], "l int, wl double")
+    x = dense.coupling_kernels(wl, max(cfg.lmax - 1, cfg.central_ell + cfg.dmax), symmetric=True)
+    pick = lambda c: F.max(F.when(F.col("channel") == c, F.col("v")))
+    wide = x.groupBy("l1", "l2").agg(pick("TT").alias("x00"), pick("TE").alias("x20"), pick("EEpBB").alias("p"), pick("EEmBB").alias("m"))
+    wide = wide.select("l1", "l2", "x00", "x20", ((F.col("p") + F.col("m")) / 2).alias("xee"), ((F.col("p") - F.col("m")) / 2).alias("xeb"))
+    scale = R.term_scale(wide, both.groupBy("ch1", "ch2", "d").agg(F.sum("v").alias("s")), cfg.central_ell).where(f"m + d < {cfg.lmax}")
+    plans = [leakage_products(spark, keys, cfg.parity_mixed, swapped) for swapped in (False, True)]
+    lost = K.missing(K.required_pairs(plans[0].unionByName(plans[1])), both.select("ch1", "ch2").distinct()).collect()
+    if lost:
+        raise ValueError(f"kernels are missing for {sorted((r.ch1, r.ch2) for r in lost)}")
+    out = R.acc_bands(plans[0], spectra, both, scale, l_star=cfg.central_ell, dmax=cfg.dmax, mirrored=plans[1], by=("ch1", "ch2"))
+    return out.select("id.idx1", "id.idx2", "l1", "l2", "v")
+
+
 def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray, square_wl: np.ndarray, couplings: DataFrame | None = None) -> Result:
     """The covariance of a run from the spectra of its mask and of the mask's square.
 
@@ -169,13 +206,16 @@ def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray,
     cfg = Config.of(params)
     xi, smooth = kernels(spark, cfg, mask_wl, square_wl)
     if cfg.method == "acc":
-        if couplings is None or any("B" in o for o in cfg.observables):
-            raise ValueError("acc needs precomputed kernels, and T and E observables only")
+        if couplings is None:
+            raise ValueError("acc needs precomputed kernels")
+        with_b = any("B" in o for o in cfg.observables)
+        if with_b and cfg.central_ell < 2:
+            raise ValueError("leakage needs centralell of 2 or more")
         reach = couplings.agg(F.max("j")).first()[0]
         padded = replace(cfg, lmax=cfg.lmax + max(0, reach - cfg.central_ell))
         keys, spectra, debias = model(spark, padded)
         debias = debias.where(F.col("ell") < cfg.lmax)
-        blocks = acc_blocks(spark, cfg, keys, spectra, couplings, xi)
+        blocks = leakage_blocks(spark, cfg, keys, spectra, couplings, square_wl) if with_b else acc_blocks(spark, cfg, keys, spectra, couplings, xi)
     else:
         keys, spectra, debias = model(spark, cfg)
         spectra = STRATEGIES[cfg.method](spectra, smooth)
@@ -204,6 +244,24 @@ def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray,
     return Result(cfg, keys, weights, matrix)
 
 
+def write_windows(result: Result, kernel: DataFrame, model_of: DataFrame, folder: str) -> None:
+    """Window functions of every spectrum as text, one folder for each key, from lmin on.
+
+    ``kernel(stokes, l1, l2, v)`` maps true to estimated spectra, ``model_of(canon, ell, v, d)`` has the debiasing
+    and the data model of each spectrum."""
+    cfg = result.config
+    w = result.weights.select("bin", F.col("ell").alias("l1"), "w")
+    scale = C.ell_factor("l1") if cfg.use_dl else F.lit(1.0)
+    one = model_of.select("canon", F.col("ell").alias("l1"), F.col("v").alias("s"))
+    two = model_of.select("canon", F.col("ell").alias("l2"), "d")
+    keys = result.keys.select("canon", F.concat("s1", "s2").alias("stokes"))
+    rows = F.broadcast(keys).join(kernel, "stokes").join(F.broadcast(w), "l1").join(one, ["canon", "l1"])
+    summed = rows.groupBy("canon", "bin", "l2").agg(F.sum(F.col("w") * scale * F.col("s") * F.col("v")).alias("v")).join(two, ["canon", "l2"])
+    line = F.concat_ws(" ", "l2", "bin", F.format_string("%.18e", F.col("v") * F.col("d")))
+    out = summed.where(F.col("l2") >= cfg.lmin).select(F.regexp_replace("canon", ",", "_").alias("spectrum"), "l2", "bin", line.alias("value"))
+    out.repartition("spectrum").sortWithinPartitions("spectrum", "l2", "bin").select("spectrum", "value").write.partitionBy("spectrum").mode("overwrite").text(folder)
+
+
 def conditioning_text(matrix: np.ndarray) -> str:
     d = np.diag(matrix)
     ok = d > 0

@@ -65,6 +65,58 @@ def test_precomputed_kernels_on_the_full_sky_give_the_narrow_kernel(spark, tmp_p
         covariance(spark, params(tmp_path, **more), FULL, FULL, made.where("ch1 = 'TT'"))
 
 
+def test_leakage_runs(spark, tmp_path):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    channels = [a + b for a in "TDL" for b in "TDL"]
+    f = lambda mu, phi: 0.5 + 0.3 * mu + 0.2 * np.sqrt(1 - mu**2) * np.cos(phi)
+    made = sky.coupling_kernels(spark, f, 8, 4, 4, 2, [(a, b) for k, a in enumerate(channels) for b in channels[k:]]).cache()
+    wl = np.array([4 * math.pi * 0.25, 0.15, 0.0]), np.array([4 * math.pi * 0.3, 0.4, 0.05, 0.0, 0.0])
+    p = params(tmp_path, stokes=None, observables=["TT", "EE", "TE", "BB"], frequencies=["090GHz"], covariance_approximation="acc", dmax=2, centralell=4, bins=[[4, 8, 2]], lmax=8, polspice_postprocess=False, nl={"090GHz": 20.0}, beams={"090GHz": 60.0})
+    p.pop("stokes")
+    m = covariance(spark, p, *wl, made).dense()
+    assert np.allclose(m, m.T, rtol=1e-8) and (np.diag(m) > 0).all()
+    c = m / np.sqrt(np.outer(np.diag(m), np.diag(m)))
+    assert np.abs(c).max() < 1 + 1e-6
+
+
+def test_term_scale_is_exact_at_the_central_multipole(spark):
+    from harmonia.functions import numerics as N
+    from harmonia.operators import relational as R
+
+    x = N.xi_kernels(np.array([3.0, 0.8, 0.1, 0.02]), 12)
+    rows = [(i, j, *[float(v) for v in (x["TT"][i, j], x["TE"][i, j], (x["EEpBB"] + x["EEmBB"])[i, j] / 2, (x["EEpBB"] - x["EEmBB"])[i, j] / 2)]) for i in range(13) for j in range(13)]
+    xi = spark.createDataFrame(rows, "l1 int, l2 int, x00 double, x20 double, xee double, xeb double")
+    sums = spark.createDataFrame([("TT", "DD", 1, 2.0), ("DL", "LD", 1, 0.05), ("DD", "DD", 1, 1.5)], "ch1 string, ch2 string, d int, s double")
+    got = {(r.ch1, r.ch2, r.m): r.x for r in R.term_scale(xi, sums, 5).collect()}
+    for a, b in (("TT", "DD"), ("DD", "DD")):
+        assert got[a, b, 5] == pytest.approx(1 / (11 * 13), rel=1e-9)
+    ratio = R.leakage_ratio(sums.unionByName(spark.createDataFrame([("TT", "LL", 1, 0.5)], sums.schema))).first()
+    assert ratio.ratio == pytest.approx(0.25)
+
+
+def test_orientation_and_mixing(spark):
+    from harmonia.operators import relational as R
+
+    rng = np.random.default_rng(0)
+    sym = rng.normal(size=(4, 4))
+    sym = sym + sym.T
+    k = sym * (2 * np.arange(4) + 1)[None, :]
+    frame = lambda a: spark.createDataFrame([(i, j, float(a[i, j])) for i in range(len(a)) for j in range(len(a))], "l1 int, l2 int, v double")
+    for given in (k, k.T):
+        assert {(r.l1, r.l2): r.v for r in R.orient(frame(given)).collect()} == {(i, j): k[i, j] for i in range(4) for j in range(4)}
+    plus, minus, s = (rng.normal(size=(4, 4)) for _ in range(3))
+    blocks = [(a, b, i, j, float(s[i, j] + a + 2 * b)) for a in (0, 1) for b in (0, 1) for i in range(4) for j in range(4)]
+    legs = frame(plus).withColumn("kernel", F.lit("p")).unionByName(frame(minus).withColumn("kernel", F.lit("m")))
+    bridge = spark.createDataFrame([(0, 0, "p"), (0, 1, "m"), (1, 1, "p"), (1, 0, "m")], "out int, src int, kernel string")
+    got = {(r.idx1, r.idx2, r.l1, r.l2): r.v for r in R.mix_sources(spark.createDataFrame(blocks, "idx1 int, idx2 int, l1 int, l2 int, v double"), bridge, legs).collect()}
+    want = sum(g @ (s + a + 2 * b) @ h.T for a, g in ((0, plus), (1, minus)) for b, h in ((0, minus), (1, plus)))
+    assert all(got[0, 1, i, j] == pytest.approx(want[i, j]) for i in range(4) for j in range(4))
+
+
 def test_whole_run(spark, tmp_path):
     z, _, n = sky.ring_layout(8)
     mask = np.repeat(np.clip(0.5 * (1 + np.cos(np.pi * np.arccos(z) / 2.2)), 0, 1) * (np.arccos(z) < 2.2), n)
