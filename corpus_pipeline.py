@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harmonia.llm import decontaminate, minhash, mixing, sharding, toxicity
-from harmonia.llm._store import stash
+from harmonia.llm._store import discard, stash
 
 SHARDS = 24
 #: The mixture takes this share of the tokens that reach it, at most once each.
@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, over the whole ``documents`` table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir))
+        before, docs = docs, stash(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
