@@ -78,17 +78,52 @@ def _split(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(np.insert(codes[keep], heads, START), np.append(heads + np.arange(len(heads)), len(keep) + len(heads)), row)
 
 
-def _distinct(words: Words) -> tuple[Words, np.ndarray]:
-    """The distinct words, and for each word which of them it is."""
+def _vocabulary(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Distinct words of some texts and the distinct (text, word) pairs, block by block: only the
+    words of one block are ever spelt out, which bounds what the driver holds."""
+    data, offsets = text_buffer(texts)
+    codes, sizes, hashes, docs, own = [], [], [], [], []
+    row, last, seen = 0, len(offsets) - 1, 0
+    while row < last:
+        stop = min(last, max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK // 2, "right")) - 1))
+        words = _split(data, offsets[row : stop + 1])
+        if len(words.row):
+            distinct, which = _distinct(words)
+            pairs = np.unique((words.row.astype(np.int64) + row) << 32 | which)
+            codes.append(distinct.codes)
+            sizes.append(np.diff(distinct.begin))
+            hashes.append(_hashes(distinct))
+            docs.append(pairs >> 32)
+            own.append((pairs & 0xFFFFFFFF) + seen)
+            seen += len(distinct.row)
+        row = stop
+    if not codes:
+        return Words(np.empty(0, np.uint8), np.zeros(1, np.int64), np.empty(0, np.int64)), np.empty(0, np.int64), np.empty(0, np.int64)
+    every = Words(np.concatenate(codes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.empty(0, np.int64))
+    _, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    pairs = np.unique(np.concatenate(docs) << 32 | which[np.concatenate(own)])
+    return _pick(every, first), pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def _pick(words: Words, first: np.ndarray) -> Words:
+    """The listed words alone."""
+    lengths = np.diff(words.begin)[first]
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    take = np.arange(begin[-1]) - np.repeat(begin[:-1], lengths) + np.repeat(words.begin[first], lengths)
+    return Words(words.codes[take], begin, np.arange(len(first)))
+
+
+def _hashes(words: Words) -> np.ndarray:
     size = np.diff(words.begin)
     inside = np.arange(len(words.codes)) - np.repeat(words.begin[:-1], size)
     powers = np.multiply.accumulate(np.full(int(size.max()), _STEP, np.uint64))
-    hashes = mix(np.add.reduceat(_TABLE[words.codes] * powers[inside], words.begin[:-1]))
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    lengths = size[first]
-    begin = np.concatenate([[0], np.cumsum(lengths)])
-    take = np.arange(begin[-1]) - np.repeat(begin[:-1], lengths) + np.repeat(words.begin[first], lengths)
-    return Words(words.codes[take], begin, np.arange(len(first))), which
+    return mix(np.add.reduceat(_TABLE[words.codes] * powers[inside], words.begin[:-1]))
+
+
+def _distinct(words: Words) -> tuple[Words, np.ndarray]:
+    """The distinct words, and for each word which of them it is."""
+    _, first, which = np.unique(_hashes(words), return_index=True, return_inverse=True)
+    return _pick(words, first), which
 
 
 def _subsequences(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -220,13 +255,9 @@ def _choose(texts: pa.Array, toxic: np.ndarray, landmarks: int, cover: int = 8)
     """Substrings of 4 to 7 letters (a word's start counts as one) that mark class 1, picked
     greedily so that each document of class 1 is covered up to ``cover`` times by landmarks that
     stand in different documents."""
-    data, offsets = text_buffer(texts)
-    words = _split(data, offsets)
-    if not len(words.row):
+    distinct, doc, word = _vocabulary(texts)
+    if not len(distinct.row):
         return []
-    distinct, which = _distinct(words)
-    pairs = np.unique(words.row.astype(np.int64) << 32 | which)
-    doc, word = pairs >> 32, pairs & 0xFFFFFFFF
     spread = np.bincount(word[toxic[doc] == 1], minlength=len(distinct.row))
     use = spread >= 1
     owner = np.repeat(np.arange(len(distinct.row)), np.diff(distinct.begin))
