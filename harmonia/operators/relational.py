@@ -181,6 +181,17 @@ def term_scale(xi: DataFrame, sums: DataFrame, l_star: int) -> DataFrame:
     return rows.select("ch1", "ch2", "d", F.col("l1").alias("m"), scale.otherwise(F.try_divide(F.col("here") * c, F.col("s"))).alias("x"))
 
 
+def normalisation_consistency(sums: DataFrame, xi: DataFrame, l_star: int) -> DataFrame:
+    """(rule, worst): largest relative deviation over d of the kernels' sum rules at the central multipole,
+    sum TT x TT = n Xi^00 and sum TT x DD + sum TT x LL = n Xi^20; ``xi(l1, l2, x00, x20)``."""
+    n = (2 * l_star + 1) * (2 * (l_star + F.col("d")) + 1)
+    star = xi.where(F.col("l1") == l_star).select((F.col("l2") - l_star).alias("d"), "x00", "x20").where("d >= 0")
+    rule = F.when(F.col("ch2") == "TT", "00").otherwise("20")
+    own = sums.where("ch1 = 'TT' and ch2 in ('TT', 'DD', 'LL')").groupBy("d", rule.alias("rule")).agg(F.sum("s").alias("s"))
+    off = F.abs(safe_divide("s", n * F.when(F.col("rule") == "00", F.col("x00")).otherwise(F.col("x20"))) - 1)
+    return own.join(F.broadcast(star), "d").groupBy("rule").agg(F.max(off).alias("worst"))
+
+
 def leakage_ratio(sums: DataFrame) -> DataFrame:
     """lambda = sum TT x LL / sum TT x DD, for each distance d."""
     pick = lambda b: F.sum(F.when((F.col("ch1") == "TT") & (F.col("ch2") == b), F.col("s")))

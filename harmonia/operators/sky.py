@@ -65,6 +65,21 @@ def power(a: np.ndarray) -> np.ndarray:
     return ((np.abs(a[:, 0]) ** 2) + 2 * (np.abs(a[:, 1:]) ** 2).sum(axis=1)) / (2 * l + 1)
 
 
+def field_of(a: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The real field (mu, phi) -> values of coefficients a[l, m >= 0], for columns of mu and rows of phi."""
+
+    def field(mu: np.ndarray, phi: np.ndarray) -> np.ndarray:
+        lmax = len(a) - 1
+        norm = np.sqrt((2 * np.arange(lmax + 1) + 1) / (4 * math.pi))
+        out = np.zeros((mu.size, phi.size))
+        for m in range(lmax + 1):
+            ring = (N.wigner_d(lmax, mu.ravel(), m, 0) * norm) @ a[:, m]
+            out += (1 if m == 0 else 2) * (ring[:, None] * np.exp(1j * m * phi.ravel())[None, :]).real
+        return out
+
+    return field
+
+
 def mask_spectra(spark: SparkSession, values: np.ndarray, lmax: int) -> DataFrame:
     """(which, l, wl) of the mask and of its square; values that aren't finite count as 0."""
     clean = np.where(np.isfinite(values), values, 0.0)

@@ -75,8 +75,8 @@ def model(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, DataF
     out = out.join(fix, ["stokes", "ell"])
     inflate = C.transfer_inflation("fl") if cfg.tf_uncertainty else F.lit(1.0)
     debias = C.finite_or(C.safe_divide(F.lit(1.0), "d", 1.0) * inflate * F.col("ppc"), 1.0)
-    full = out.select("canon", "stokes", "ell", (F.col("v") * F.col("d") + F.col("n")).alias("v"), debias.alias("debias"), "d")
-    return keys, full.select("canon", "stokes", "ell", "v"), full.select("canon", "stokes", "ell", F.col("debias").alias("v"), "d")
+    full = out.select("canon", "stokes", "ell", (F.col("v") * F.col("d") + F.col("n")).alias("v"), debias.alias("debias"), "d", "fl")
+    return keys, full.select("canon", "stokes", "ell", "v"), full.select("canon", "stokes", "ell", F.col("debias").alias("v"), "d", "fl")
 
 
 def kernels(spark: SparkSession, cfg: Config, mask_wl: np.ndarray, square_wl: np.ndarray) -> tuple[DataFrame, DataFrame]:
@@ -129,6 +129,46 @@ def fold_legs(blocks: DataFrame, legs: dict[int, np.ndarray]) -> DataFrame:
     return blocks.groupBy("idx1", "idx2").applyInArrow(run, "idx1 int, idx2 int, bin1 int, bin2 int, v double")
 
 
+def filter_profile(f: dict[str, Any]):
+    """The ring filter of a map_filter block as a function of M and sin(theta)."""
+    low = f.get("lowpass")
+
+    def profile(m: np.ndarray, s: np.ndarray) -> np.ndarray:
+        cut = f["lx"] * s
+        with np.errstate(divide="ignore"):
+            on = (m > cut) * 1.0 if f.get("shape", "sharp") == "sharp" else np.exp(-((cut / m) ** f.get("power", 6)))
+        on = np.where(m == 0, 0.0, on)
+        if low:
+            top = low["lx"] * s
+            on = on * ((m <= top) if low.get("shape", "exp") == "sharp" else np.exp(-((m / np.maximum(top, 1e-300)) ** low.get("power", 6))))
+        return on
+
+    return profile
+
+
+def filtered_blocks(spark: SparkSession, cfg: Config, keys: DataFrame, blocks: DataFrame, model_of: DataFrame, mask_alm: np.ndarray) -> DataFrame:
+    """Blocks of filtered maps: times rho of the block's norm channel over the transfer functions of both legs.
+
+    rho comes from probes at a list of nodes (a task for each), by distance, interpolated in between."""
+    f, top, lw = cfg.raw["map_filter"], cfg.lmax - 1, len(mask_alm) - 1
+    dmax = min(f.get("dmax") or top, top)
+    at = sky.nodes(cfg.lmax, min(f.get("node_min", 32), max(2, top // 2)), f.get("node_ratio", 1.25), f["lx"], f.get("near_cut_step"))
+    sums = sky.filtered_sums(spark, sky.field_of(mask_alm), filter_profile(f), min(top + dmax, 2 * top), lw, at, f.get("nprobe", 32), f.get("seed", 0))
+    rho = None
+    for ch in ("00", "20", "EE"):
+        g = R.ratio_by_distance(sums.where(F.col("channel") == ch).select("node", "ell", "f", "u"), dmax)
+        one = dense.interpolate_nodes(g, top, dmax).withColumn("norm", F.lit(ch))
+        rho = one if rho is None else rho.unionByName(one)
+    side = lambda i: keys.select(F.col("idx").alias(f"idx{i}"), F.concat("s1", "s2").alias(("left_stokes", "right_stokes")[i - 1]), F.col("canon").alias(f"c{i}"))
+    norms = K.norm_table(spark)
+    named = blocks.join(F.broadcast(side(1)), "idx1").join(F.broadcast(side(2)), "idx2").join(F.broadcast(norms), ["left_stokes", "right_stokes"], "left")
+    named = named.withColumn("norm", F.coalesce("norm", F.lit("EE")))
+    fl = lambda i: model_of.select(F.col("canon").alias(f"c{i}"), F.col("ell").alias(f"l{i}"), F.col("fl").alias(f"f{i}"))
+    out = named.join(rho.withColumnRenamed("v", "rho"), ["norm", "l1", "l2"], "left").join(fl(1), ["c1", "l1"]).join(fl(2), ["c2", "l2"])
+    factor = F.when(F.col("rho").isNull(), 1.0).otherwise(C.transfer_correction("rho", "f1", "f2"))
+    return out.select("idx1", "idx2", "l1", "l2", (F.col("v") * factor).alias("v"))
+
+
 #: Strategies: (products, spectra, smoothing kernels) -> spectra that enter the blocks.
 STRATEGIES = {
     "nka": lambda spectra, smooth: spectra,
@@ -198,12 +238,14 @@ def leakage_blocks(spark: SparkSession, cfg: Config, keys: DataFrame, spectra: D
     return out.select("id.idx1", "id.idx2", "l1", "l2", "v")
 
 
-def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray, square_wl: np.ndarray, couplings: DataFrame | None = None) -> Result:
+def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray, square_wl: np.ndarray, couplings: DataFrame | None = None, mask_alm: np.ndarray | None = None) -> Result:
     """The covariance of a run from the spectra of its mask and of the mask's square.
 
     The method acc takes kernels from ``operators.sky.coupling_kernels`` as well; spectra are then read
-    as far beyond lmax as the kernels reach."""
+    as far beyond lmax as the kernels reach.  A map filter needs the mask's coefficients too."""
     cfg = Config.of(params)
+    if cfg.raw.get("map_filter") and mask_alm is None:
+        raise ValueError("map_filter needs the mask's coefficients")
     xi, smooth = kernels(spark, cfg, mask_wl, square_wl)
     if cfg.method == "acc":
         if couplings is None:
@@ -221,6 +263,8 @@ def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray,
         spectra = STRATEGIES[cfg.method](spectra, smooth)
         products = K.contractions(K.block_positions(keys, cfg.parity_mixed))
         blocks = R.nka_blocks(products, R.spectra_arrays(spectra, cfg.lmax - 1), xi, K.norm_table(spark))
+    if cfg.raw.get("map_filter"):
+        blocks = filtered_blocks(spark, cfg, keys, blocks, debias, mask_alm)
     table = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cfg.edges[:-1], cfg.edges[1:], strict=True))]
     bins = spark.createDataFrame(table, "bin int, lo int, hi int")
     weights = R.bin_weights(S.grid(spark, cfg.lmax), bins, lmin=cfg.lmin, flatten=not cfg.use_dl)
@@ -290,8 +334,8 @@ def run(spark: SparkSession, params: dict[str, Any]) -> str:
         values = read_mask(spark, params)
         nside = math.isqrt(len(values) // 12)
         lw = 2 * nside
-        wl, sq = (sky.power(sky.map_alm(x, lw)) for x in (values, values**2))
-        result = covariance(spark, params, wl, sq)
+        alm, alm2 = (sky.map_alm(x, lw) for x in (values, values**2))
+        result = covariance(spark, params, sky.power(alm), sky.power(alm2), mask_alm=alm)
         matrix = result.dense()
         record.add("derived", nside=nside, mask_band_limit=lw, observables=list(result.config.observables), bins=len(result.centres()), spectra=[r.canon for r in result.keys.orderBy("idx").collect()])
         write_atomic(f"{folder}/{params['cov_name']}", table_text(matrix))

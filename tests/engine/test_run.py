@@ -65,6 +65,31 @@ def test_precomputed_kernels_on_the_full_sky_give_the_narrow_kernel(spark, tmp_p
         covariance(spark, params(tmp_path, **more), FULL, FULL, made.where("ch1 = 'TT'"))
 
 
+def test_map_filter_lowers_the_covariance(spark, tmp_path):
+    z, _, n = sky.ring_layout(8)
+    alm = sky.map_alm(np.repeat(np.exp(z) / 3, n), 8)
+    wl, square = sky.power(alm), sky.power(sky.map_alm(np.repeat(np.exp(2 * z) / 9, n), 8))
+    field = sky.field_of(alm)(np.array([[0.3]]), np.array([[0.1, 2.0]]))
+    assert np.allclose(field, math.exp(0.3) / 3, rtol=1e-3)
+    p = params(tmp_path, stokes=["T"], frequencies=["090GHz"], nl={"090GHz": 20.0}, beams={"090GHz": 60.0}, lmax=12, bins=[[4, 12, 4]], polspice_postprocess=False)
+    plain = covariance(spark, p, wl, square).dense()
+    f = {"type": "fourier_highpass", "lx": 1.5, "nprobe": 8, "node_min": 4, "node_ratio": 1.6}
+    cut = covariance(spark, p | {"map_filter": f}, wl, square, mask_alm=alm).dense()
+    assert (np.diag(cut) > 0).all() and (np.diag(cut) < np.diag(plain)).all()
+    with pytest.raises(ValueError, match="coefficients"):
+        covariance(spark, p | {"map_filter": f}, wl, square)
+
+
+def test_sum_rule_report(spark):
+    from harmonia.operators import relational as R
+
+    xi = spark.createDataFrame([(4, 4 + d, 0.1 / (d + 1), 0.05) for d in range(3)], "l1 int, l2 int, x00 double, x20 double")
+    n = [9 * (2 * (4 + d) + 1) for d in range(3)]
+    rows = [("TT", "TT", d, n[d] * 0.1 / (d + 1) * (1.02 if d == 1 else 1)) for d in range(3)] + [("TT", "DD", d, n[d] * 0.04) for d in range(3)] + [("TT", "LL", d, n[d] * 0.01) for d in range(3)]
+    got = {r.rule: r.worst for r in R.normalisation_consistency(spark.createDataFrame(rows, "ch1 string, ch2 string, d int, s double"), xi, 4).collect()}
+    assert got["00"] == pytest.approx(0.02) and got["20"] == pytest.approx(0, abs=1e-12)
+
+
 def test_leakage_runs(spark, tmp_path):
     import sys
 
