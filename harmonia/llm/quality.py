@@ -162,12 +162,15 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, *, sample: int = 4000, longest: int = 100_000) -> tuple[LabelModel, Scorer]:
     """The label model over the votes of all documents, and the scorer trained on the posteriors of
-    at most ``sample`` documents (least text hash, at most ``longest`` characters each), which is
+    at most ``sample`` different texts (least hash, at most ``longest`` characters each), which is
     all the text that the driver holds."""
     text = docs.select(F.col("text").cast("string").alias("text"))
     found = text.mapInArrow(_vote, "pattern long").groupBy("pattern").count().orderBy("pattern").collect()
     model = label_model(_unpack(np.array([r[0] for r in found], np.int64)), np.array([r[1] for r in found], float))
-    picked = text.where(F.length("text") <= longest).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample).toArrow()
+    hashed = text.where(F.length("text") <= longest).select("text", F.xxhash64("text").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # Only texts up to the last hash of the sample move, one copy of each.
+    picked = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(sample).toArrow()
     if not picked.num_rows:
         return model, Scorer(np.zeros(BUCKETS), np.zeros((len(SIGNALS), 3)), 0.0)
     values, n_words, words_of = signals(picked.column("text").combine_chunks())
