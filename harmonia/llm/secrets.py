@@ -10,7 +10,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._graph import connected_components
 from ._store import discard, stash
+from ._words import shingle_set, word_hashes
+from .minhash import band_keys, registers
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -57,24 +60,64 @@ _SPAN = "array<struct<start:long,end:long,kind:int,hash:string>>"
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("hash", pa.string())]))
     for batch in batches:
-        found = []
+        found, sketches = [], []
         for text in batch.column(3):
             t = text.as_py() or ""
             base = base_spans(t)
             spans = base + more_spans(t, base)
             found.append([{"start": s, "end": e, "kind": k, "hash": hashlib.sha256(x.encode()).hexdigest()[:32]} for s, e, k, x in spans])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, kind)], names=["doc_id", "repo", "owner", "spans"])
+            sketches.append(_sketch(t) if spans else None)
+        columns = [*batch.columns[:3], pa.array(found, kind), pa.array(sketches, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "repo", "owner", "spans", "sketch"])
+
+
+def _sketch(text: str) -> list[int]:
+    """Band keys of a text's five-word shingles."""
+    ((_, words),) = word_hashes(pa.array([text]))
+    return band_keys(registers(shingle_set(words, 5)))[0].tolist()
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(row, text_class) of ``rows(row, sketch)``: copies and near copies share a class.  Rows that meet
+    in a band count as copies unverified, which can only lower a hash's number of owners."""
+    reps = stash(rows.groupBy("sketch").agg(F.min("row").alias("node")))
+    banded = reps.select("node", F.posexplode("sketch").alias("band", "key"))
+    pivots = banded.groupBy("band", "key").agg(F.min("node").alias("pivot"))
+    top = connected_components(banded.join(pivots, ["band", "key"]).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    reps = reps.join(top, "node", "left").select("sketch", F.coalesce("component", "node").alias("text_class"))
+    return rows.join(reps, "sketch").select("row", "text_class")
+
+
+def _spread(each: DataFrame, sketches: DataFrame, n_owners: int, most_owners: int, wide_share: float) -> DataFrame:
+    """(hash, repos, owners) of the hashes in more than one repository, counted over classes of texts."""
+    held = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash").count().where("count > 1").select("hash")
+    held = stash(each.join(held, "hash", "left_semi").select("hash", "row", "owner", "repo").distinct())
+    classes = _classes(sketches.join(held.select("row").distinct(), "row", "left_semi"))
+    pairs = stash(held.join(classes, "row").select("hash", "text_class", "owner", "repo").distinct())
+    first = pairs.groupBy("hash", "text_class").agg(F.min(F.struct("owner", "repo")).alias("first"), F.countDistinct("owner").alias("own"))
+    wide = F.col("own") > max(most_owners, wide_share * n_owners)
+    counted = pairs.join(first, ["hash", "text_class"]).where(wide | (F.struct("owner", "repo") == F.col("first")))
+    return counted.groupBy("hash").agg(F.countDistinct("owner", "repo").alias("repos"), F.countDistinct("owner").alias("owners"))
 
 
 def find_secrets(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, most_owners: int = 1
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    repo: Column | None = None,
+    owner: Column | None = None,
+    most_owners: int = 2,
+    wide_share: float = 0.5,
 ) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, spans array<struct<start, end, kind, hash, repos, owners, verdict>>.
 
     Every whole text is scanned for the base patterns and for other strings that look like live
     keys.  All hashes are then counted over the corpus by distinct repositories and owners: one held by
-    more than ``most_owners`` owners is an ``example`` that many copy, one that is specific to its
-    owner is ``live``.  Base spans are always returned; other strings only if they are live.
+    more than ``most_owners`` owners is an ``example`` that many copy, any other is ``live``.  Copies and
+    near copies of a text count as one, under their first owner, unless that text itself stands under more
+    than ``most_owners`` owners and ``wide_share`` of all owners: then all of its owners count.  Base spans
+    are always returned; other strings only if they are live.
     Default owner: ``source``; default repository: source and language.  Null owners or
     repositories count as one.  Offsets are code points, the end exclusive; null texts are empty."""
     owner = F.col("source") if owner is None else owner
@@ -83,12 +126,13 @@ def find_secrets(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"),
         F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.col(text_col).cast("string").alias("text"),
     )
-    scanned = own.mapInArrow(_scan, f"doc_id long, repo string, owner string, spans {_SPAN}")
+    scanned = own.mapInArrow(_scan, f"doc_id long, repo string, owner string, spans {_SPAN}, sketch array<long>")
     scanned = stash(scanned.withColumn("row", F.monotonically_increasing_id()))
     each = scanned.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s")).select("row", "repo", "owner", "s.*")
-    held = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    spread = stash(held.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners")))
-    judged = each.join(spread, "hash").withColumn("verdict", F.when(F.col("owners") > most_owners, "example").otherwise("live"))
+    sketches = scanned.where(F.size("spans") > 0).select("row", "sketch")
+    spread = stash(_spread(each, sketches, scanned.select("owner").distinct().count(), most_owners, wide_share))
+    judged = each.join(spread, "hash", "left").withColumns({c: F.coalesce(c, F.lit(1).cast("long")) for c in ("repos", "owners")})
+    judged = judged.withColumn("verdict", F.when(F.col("owners") > most_owners, "example").otherwise("live"))
     judged = judged.where((F.col("kind") < 3) | (F.col("verdict") == "live"))
     spans = F.sort_array(F.collect_list(F.struct("start", "kind", "end", "hash", "repos", "owners", "verdict"))).alias("spans")
     per_row = stash(judged.groupBy("row").agg(spans))

@@ -129,6 +129,18 @@ def test_widely_copied_secrets_are_examples(spark):
     assert [got[k].n_owned for k in (0, 1, 2, 9)] == [0, 0, 0, 1] and got[0].n_examples == 1 and got[9].n_live == 1
 
 
+def test_copies_of_a_text_are_one_owner(spark):
+    key, shown = "Zx9+Qw3/Er5Ty7Ui8Op1As2", "Mn4+Bv3/Cx5Zl7Kj8Hg1Fd2"
+    words = [f"w{k}" for k in range(80)]
+    text, near = " ".join(words) + f" {key} end", " ".join(["new", *words]) + f" {key} end"
+    rows = [(0, text, "s0"), (1, text, "s1"), (2, near, "s2")] + [(10 + k, f"{' '.join(f'v{k}x{i}' for i in range(40))} {shown} end", f"s{k}") for k in range(3)]
+    docs = documents(spark, rows + [(20 + k, "nothing here", f"s{k}") for k in range(8)])
+    got = {r.doc_id: r for r in secrets.digest(secrets.find_secrets(docs)).collect()}
+    assert [got[k].n_owned for k in (0, 1, 2)] == [1, 1, 1] and [got[k].n_owned for k in (10, 11, 12)] == [0, 0, 0]
+    two = documents(spark, [r for r in rows if r[0] in (10, 11)])
+    assert [r.n_owned for r in secrets.digest(secrets.find_secrets(two)).collect()] == [1, 1]
+
+
 def test_licenses_match_brute_force(spark, real):
     texts = [r.text for r in real.collect()] + [
         None, "", "License", "MIT License", "the MIT-License and Apache license; GENERAL PUBLIC LICENSE mit license", "license mit license",
