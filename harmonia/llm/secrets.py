@@ -21,7 +21,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "owned")
 #: Strings that the method weighs beside the base ones.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 LEAST_ENTROPY, LEAST_CLASSES = 3.5, 3
 
 
@@ -35,7 +35,9 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def looks_live(s: str) -> bool:
-    """At least three of lower case, upper case, digits and signs, and 3.5 bits a character."""
+    """A digit, at least three of lower case, upper case, digits and signs, and 3.5 bits a character."""
+    if not re.search("[0-9]", s):
+        return False
     classes = bool(re.search("[a-z]", s)) + bool(re.search("[A-Z]", s)) + bool(re.search("[0-9]", s)) + bool(re.search("[+/_=-]", s))
     if classes < LEAST_CLASSES:
         return False

@@ -141,6 +141,14 @@ def test_copies_of_a_text_are_one_owner(spark):
     assert [r.n_owned for r in secrets.digest(secrets.find_secrets(two)).collect()] == [1, 1]
 
 
+def test_candidates_have_no_longest_length():
+    found = lambda t: [(s, e) for s, e, _, _ in secrets.more_spans(t, secrets.base_spans(t))]
+    long = "Zx9+Qw3/Er5Ty7Ui8Op1As2" * 40
+    late = "".join(chr(65 + k % 26) + chr(97 + k * 7 % 26) for k in range(60)) + "7+"
+    assert found(f"see {long}== end") == [(4, 6 + len(long))] and found(f"see {late} end") == [(4, 4 + len(late))]
+    assert found(f"see {late[:-2]}+ end") == [] and found("x" * 10**6 + "===") == []
+
+
 def test_licenses_match_brute_force(spark, real):
     texts = [r.text for r in real.collect()] + [
         None, "", "License", "MIT License", "the MIT-License and Apache license; GENERAL PUBLIC LICENSE mit license", "license mit license",
