@@ -53,21 +53,60 @@ def _starts(words: Column, step) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last, step)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def benchmark_windows(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", literal: int = 3) -> DataFrame:
-    """(hash, item_id, place, slots, windows): every window of every item, with and without name
-    slots, that has at least ``literal`` tokens which are not placeholders.  ``windows`` counts the
-    item's usable places.  Items with fewer than five tokens have none."""
+def _forms(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, form, full, canon): tokens with and without name slots, and as within a sentence."""
     base = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    forms = [base.select("item_id", tokens(F.col("text"), named).alias("full")) for named in (True, False)]
+    forms = [base.select("item_id", F.lit(int(named)).alias("form"), tokens(F.col("text"), named).alias("full")) for named in (True, False)]
     within = F.slice(tokens(F.concat(F.lit("a "), F.trim("text"))), 2, 1 << 30)  # as it reads in the middle of a sentence
-    forms.append(base.where("text is not null").select("item_id", within.alias("full")))
-    both = forms[0].unionByName(forms[1]).unionByName(forms[2]).withColumn("canon", canonical(F.col("full")))
-    each = both.select("item_id", "full", "canon", F.explode(_starts(F.col("canon"), F.lit(1))).alias("place"))
+    forms.append(base.where("text is not null").select("item_id", F.lit(2).alias("form"), within.alias("full")))
+    return forms[0].unionByName(forms[1]).unionByName(forms[2]).withColumn("canon", canonical(F.col("full")))
+
+
+def _item_windows(forms: DataFrame) -> DataFrame:
+    """(item_id, form, place, hash, slots) of every window of every form."""
+    each = forms.select("item_id", "form", "full", "canon", F.explode(_starts(F.col("canon"), F.lit(1))).alias("place"))
     slots = F.filter(F.slice("full", F.col("place") + 1, N), lambda x: x.startswith("#"))
-    rows = each.select("item_id", "place", _window(F.col("canon"), F.col("place")).alias("hash"), slots.alias("slots"))
-    rows = rows.where(F.size("slots") <= N - literal).distinct()
-    counts = rows.groupBy("item_id").agg(F.countDistinct("place").alias("windows"))
-    return rows.join(counts, "item_id")
+    return each.select("item_id", "form", "place", _window(F.col("canon"), F.col("place")).alias("hash"), slots.alias("slots"))
+
+
+def benchmark_windows(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", literal: int = 3) -> DataFrame:
+    """(hash, item_id, place, slots, windows): every window of every item, with and without name
+    slots, that has at least ``literal`` tokens which are not placeholders.  ``windows`` counts the
+    item's usable places.  An item left with one or two usable places of more keeps all its windows.
+    Items with fewer than five tokens, or without a usable place, have none (``whole_items``)."""
+    return _kept_windows(_item_windows(_forms(benchmark, id_col, text_col)), literal).drop("form").distinct()
+
+
+def _kept_windows(rows: DataFrame, literal: int = 3) -> DataFrame:
+    usable = F.size("slots") <= N - literal
+    counts = rows.groupBy("item_id").agg(F.countDistinct(F.when(usable, F.col("place"))).alias("usable"), F.countDistinct("place").alias("places"))
+    thin = F.col("usable") < F.least(F.lit(3), F.col("places"))
+    kept = rows.join(counts.where("usable > 0"), "item_id").where(usable | thin)
+    return kept.withColumn("windows", F.when(thin, F.col("places")).otherwise(F.col("usable"))).drop("usable", "places")
+
+
+def whole_items(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", literal: int = 3) -> DataFrame:
+    """(item_id, full, lead, anchor): token sequences, slot values included, of the forms that have fewer
+    than five tokens or a window with less than ``literal`` words.  ``anchor`` hashes the first ``lead``."""
+    return _whole(_forms(benchmark, id_col, text_col), literal)
+
+
+def _whole(forms: DataFrame, literal: int = 3) -> DataFrame:
+    filled = lambda i: F.size(F.filter(F.slice("full", i + 1, N), lambda x: x.startswith("#"))) > N - literal
+    odd = forms.where("size(full) > 0 and full[0] <> ''").where((F.size("full") < N) | F.exists(_starts(F.col("full"), F.lit(1)), filled))
+    lead = F.least(F.size("full"), F.lit(N)).alias("lead")
+    return odd.select("item_id", "full", lead).distinct().withColumn("anchor", _anchor(F.lit(0), F.col("lead")))
+
+
+def _anchor(i: Column, lead: Column) -> Column:
+    return F.xxhash64(F.lit("whole"), F.concat_ws(" ", F.slice("full", i + 1, lead)))
+
+
+def _stride(bench: DataFrame, coverage: float) -> int:
+    """Places between two probes: up to five where every form of every item has consecutive windows, else 1."""
+    runs = bench.groupBy("item_id", "form").agg(F.countDistinct("place").alias("n"), (F.max("place") - F.min("place") + 1).alias("extent"))
+    gaps, least = runs.agg(F.max(F.col("extent") > F.col("n")), F.min("n")).first()
+    return 1 if gaps or least is None else max(1, min(N, int(least * coverage)))
 
 
 def leaks(
@@ -87,23 +126,31 @@ def leaks(
     the document there; ``changed_slots`` counts values that differ (a re-parameterised question).
 
     Every fifth window of each document meets all windows of the benchmark in a hash join, which
-    finds every run of nine matching tokens (shorter items: the stride shrinks to fit the shortest); only documents that meet some
-    window are then compared window by window.  Null texts and items are empty; ``key`` tells rows
+    finds every run of nine matching tokens (shorter items: the stride shrinks to fit the shortest; items
+    whose usable windows have gaps: every window); only documents that meet some window are then compared
+    window by window.  Items of fewer than five tokens, and items with a window of too few words, are also
+    found as whole token sequences with equal slot values (coverage 1, ``windows`` all their places).  Null texts and items are empty; ``key`` tells rows
     apart (default: a hash of id and text), so repeated rows give equal rows once.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = own.withColumn("key", F.xxhash64("doc_id", "text") if key is None else key)
-    bench = stash(benchmark_windows(benchmark))
-    held = bench.agg(F.count("*"), F.min("windows")).first()
-    if not held[0]:
-        discard(bench)
+    forms = stash(_forms(benchmark))
+    formed = stash(_kept_windows(_item_windows(forms)))
+    bench, whole = stash(formed.drop("form").distinct()), stash(_whole(forms))
+    held, leads = bench.count(), sorted(r[0] for r in whole.select("lead").distinct().collect())
+    if not held and not leads:
+        discard(forms, formed, bench, whole)
         return _report(own.limit(0).select("key", "doc_id", F.lit(0).cast("long").alias("item_id"), *_none()))
-    small = F.broadcast if held[0] <= BROADCAST_WINDOWS else (lambda x: x)
-    step = max(1, min(N, int(held[1] * coverage)))
-    probes = own.select("key", "doc_id", canonical(tokens(F.col("text"))).alias("words"))
-    probes = probes.select("key", "doc_id", F.transform(_starts(F.col("words"), F.lit(step)), lambda i: _window(F.col("words"), i)).alias("h"))
+    small = F.broadcast if held + whole.count() <= BROADCAST_WINDOWS else (lambda x: x)
+    step = _stride(formed, coverage)
+    hashes = bench.select("hash").union(whole.select("anchor")).distinct()
+    probes = own.select("key", "doc_id", tokens(F.col("text")).alias("full"))
+    probes = probes.select("key", "doc_id", *(["full"] if leads else []), canonical(F.col("full")).alias("words"))
+    at_steps = F.transform(_starts(F.col("words"), F.lit(step)), lambda i: _window(F.col("words"), i))
+    at_items = [F.transform(_spots(leads), lambda x: x["anchor"])] if leads else []
+    probes = probes.select("key", "doc_id", F.concat(at_steps, *at_items).alias("h"))
     probes = probes.select("key", "doc_id", F.explode(F.array_distinct("h")).alias("hash"))
-    wanted = stash(probes.join(small(bench.select("hash").distinct()), "hash", "left_semi").select("key").distinct())
+    wanted = stash(probes.join(small(hashes), "hash", "left_semi").select("key").distinct())
     words = own.join(wanted, "key", "left_semi").select("key", "doc_id", tokens(F.col("text")).alias("full"))
     # Materialised: inlined into the window function below, tokens would be made anew for every window.
     words = stash(words.withColumn("canon", canonical(F.col("full"))))
@@ -118,7 +165,8 @@ def leaks(
             "key", "doc_id", "item_id", "windows", "at", "place", (F.col("at") - F.col("place")).alias("line"), "slots", "values"
         )
     )
-    discard(wanted, words, bench)
+    exact = stash(_exact(words, whole, leads, small))
+    discard(wanted, words, forms, formed, bench, whole)
     pairs = (
         met.where(F.size("slots") > 0)
         .select("key", "item_id", "line", F.explode(F.arrays_zip("slots", "values")).alias("p"))
@@ -133,7 +181,34 @@ def leaks(
         F.max("windows").alias("windows"), F.countDistinct("place").alias("matched"), F.min("at").cast("long").alias("first_token"),
         (F.max("at") + N - 1).cast("long").alias("last_token"), F.max(F.coalesce("changed", F.lit(0))).cast("long").alias("changed_slots"),
     )
-    return _report(found.where(F.col("matched") >= coverage * F.col("windows")))
+    found = found.where(F.col("matched") >= coverage * F.col("windows"))
+    if not leads:
+        return _report(found)
+    found = stash(found)
+    return _report(found.unionByName(exact.join(found, ["key", "item_id"], "left_anti")))
+
+
+def _spots(leads: list[int]) -> Column:
+    """(at, anchor) of the stretches of ``full`` of each length of ``leads``."""
+    none = F.expr("cast(array() as array<struct<at:int,anchor:bigint>>)")
+
+    def of(n: int) -> Column:  # not a default argument: transform would pass the index for it
+        starts = F.when(F.size("full") >= n, F.sequence(F.lit(0), F.size("full") - n)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), _anchor(i, F.lit(n)).alias("anchor")))
+
+    return F.concat(none, *[of(n) for n in leads])
+
+
+def _exact(words: DataFrame, whole: DataFrame, leads: list[int], small) -> DataFrame:
+    """Documents that hold an item's whole sequence, slot values included; columns as ``leaks`` groups them."""
+    met = words.select("key", F.explode(_spots(leads)).alias("w")).select("key", "w.*").join(small(whole.select("anchor").distinct()), "anchor", "left_semi")
+    near = words.select("key", "doc_id", "full").join(met.distinct(), "key").join(small(whole.withColumnRenamed("full", "item")), "anchor")
+    near = near.where(F.slice("full", F.col("at") + 1, F.size("item")) == F.col("item"))
+    places = F.greatest(F.size("item") - N + 1, F.lit(1)).cast("long")
+    return near.groupBy("key", "doc_id", "item_id").agg(
+        F.max(places).alias("windows"), F.max(places).alias("matched"), F.min("at").cast("long").alias("first_token"),
+        F.max(F.col("at") + F.size("item") - 1).cast("long").alias("last_token"), F.lit(0).cast("long").alias("changed_slots"),
+    )
 
 
 def _none() -> list[Column]:

@@ -239,6 +239,28 @@ def test_torn_slots_are_no_leak(spark):
     assert [r.doc_id for r in decontaminate.leaks(docs, bench).collect()] == [1]
 
 
+def test_items_without_usable_windows_are_found_whole(spark):
+    dense = "sum 1 2 3 then add 4 5 6 and now take 7 8 9 from it all"
+    names = "ask Anna, Berta, Carla, Dora, Emma, Fanny, Greta"
+    items = [(1, "What is 12 + 45 - 7?"), (2, "tiny riddle"), (3, dense), (4, "numbers 1 2 3 4 5 6 7 8 9 are what we"), (5, names)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    filler = "other words that have nothing to do with any of it at all"
+    rows = [(10 * i + k, f"{'x ' * k}{filler} {t} {filler}") for i, t in items for k in range(5)]
+    rows += [(100, f"{filler} What is 12 + 45 - 8? {filler}"), (101, f"{filler} 8 9 are what we count here {filler}"), (102, "tiny"), (103, None), (104, "")]
+    docs = documents(spark, [(i, t, "s") for i, t in rows])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(10 * i + k, i) for i, _ in items for k in range(5)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {100, 101, 102, 103, 104}
+
+
+def test_stride_is_one_where_usable_windows_have_gaps(spark):
+    bench = spark.createDataFrame([(1, "add 1 2 more and then 3 4 more 5 6 to it and 7 8 9 so the sum is here")], "item_id long, text string")
+    formed = decontaminate._kept_windows(decontaminate._item_windows(decontaminate._forms(bench)))
+    assert decontaminate._stride(formed, 0.8) == 1
+    plain = spark.createDataFrame([(1, "one two three four five six seven eight nine ten and more")], "item_id long, text string")
+    assert decontaminate._stride(decontaminate._kept_windows(decontaminate._item_windows(decontaminate._forms(plain))), 0.8) == 5
+
+
 def test_leaks_match_brute_force(spark, real):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     strip = lambda t: [w for w in ("".join(c for c in x if c.isalnum()) for x in t.lower().split()) if w]
