@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ._store import discard, stash
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words of a lower-cased text.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 64
 # Labels and well-known sentences of public licenses.
 TEMPLATES = (
@@ -30,9 +31,22 @@ TEMPLATES = (
 )
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z as a-z.  Letters beyond ASCII stay beyond ASCII: the two whose lower case isn't are replaced first."""
+    odd = F.contains(text, F.lit("İ")) | F.contains(text, F.lit("K"))
+    return F.lower(F.when(odd, F.regexp_replace(text, "[İK]", "ķ")).otherwise(text))
+
+
 def words_of(text: Column) -> Column:
-    """Words of a text, lower-cased; null is empty."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words of a text, lower-cased; null is empty.  Split at what lies between words, which is linear in the text."""
+    return F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), GAP)
+
+
+def _inner(w: Column) -> Column:
+    """Without the empty strings that a gap at either end of the text leaves."""
+    first = F.when(w[0] == "", 2).otherwise(1)
+    last = F.size(w) - F.when(F.element_at(w, -1) == "", 1).otherwise(0)
+    return F.slice(w, first, F.greatest(last - first + 1, F.lit(0)))
 
 
 def _starts(w: Column) -> Column:
@@ -75,46 +89,45 @@ def license_scan(
     ``score`` is the largest containment of a match (1 with a base place, 0 without a match), and
     ``n_blocks`` counts (block, template) matches.
 
+    Every text is split into words once.  A text that holds enough different tokens of some template
+    leaves (place, token) pairs of its template tokens behind, and blocks are built from those pairs, at
+    most 64 in one, so neither words nor texts are shuffled or read again.
+
     Null and empty texts have no words; first and last word are null without a place.  Repeated rows
     (same id and text) get equal results.  The template tables are a bounded parameter."""
     sets = [(n, label, list(dict.fromkeys(text.split()))) for n, (label, text) in enumerate(templates)]
+    needs = {n: max(1, math.ceil(containment * len(tokens) - 1e-9)) for n, _, tokens in sets}
     vocabulary = sorted({t for _, _, tokens in sets for t in tokens})
     w = F.col("w")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    key = F.xxhash64("doc_id", "text")
-    scanned = own.select("doc_id", key.alias("key"), words_of(F.col("text")).alias("w"))
+    split = own.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), words_of(F.col("text")).alias("w"))
+    scanned = split.select("doc_id", "key", _inner(w).alias("w"))
+    held = scanned.select("doc_id", "key", "w", F.array_intersect(_literal(vocabulary), w).alias("held"))
+    enough = F.lit(False)
+    for n, _, tokens in sets:
+        enough = enough | (F.size(F.array_intersect("held", _literal(tokens))) >= needs[n])
+    pairs = F.filter(F.transform(w, lambda x, i: F.when(x.isin(vocabulary), F.struct(i.alias("at"), x.alias("t")))), lambda s: s.isNotNull())
     base = stash(
-        scanned.select(
-            "doc_id", "key", F.size(w).cast("long").alias("n_words"),
-            F.when(F.array_contains(w, "license"), _starts(w)).alias("places"),
-            F.array_intersect(w, _literal(vocabulary)).alias("held"),
+        held.select(
+            "doc_id", "key", F.size(w).cast("long").alias("n_words"), F.when(F.array_contains("held", "license"), _starts(w)).alias("places"),
+            "held", F.when(enough, pairs).alias("pairs"),
         )
     )
     counted = base.select(F.explode("held").alias("t")).groupBy("t").count().collect()  # a row per template token at most
     often = {t: n for t, n in counted}
     ranked = sorted(vocabulary, key=lambda t: (often.get(t, 0), t))
     place = {t: i for i, t in enumerate(ranked)}
-    index, needs, prefix = [], {}, set()
-    for n, label, tokens in sets:
+    index = []
+    for n, _, tokens in sets:
         order = sorted(tokens, key=place.get)
-        need = needs[n] = max(1, math.ceil(containment * len(order) - 1e-9))
-        for i, t in enumerate(order[: len(order) - need + 1]):
-            index.append((t, n, i, len(order), need))
-            prefix.add(t)
+        index += [(t, n, i, len(order), needs[n]) for i, t in enumerate(order[: len(order) - needs[n] + 1])]
     table = docs.sparkSession.createDataFrame(index, "t string, template int, i int, size int, need int")
-    some = F.lit(False)
-    for t in sorted(prefix, key=place.get):
-        if often.get(t, 0):
-            some = some | F.contains(F.lower("text"), F.lit(t))
-    block = lambda i: F.struct(i.alias("at"), F.array_intersect(_literal(ranked), F.slice("w", i + 1, WINDOW)).alias("b"))
-    blocks = (
-        own.where(some)
-        .select(key.alias("key"), words_of(F.col("text")).alias("w"))
-        .where(F.arrays_overlap("w", _literal(sorted(prefix))))
-        .select("key", F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2)), block).alias("blocks"))
-        .select("key", F.explode("blocks").alias("x"))
-        .select("key", "x.*")
-    )
+    half = WINDOW // 2
+    met = base.where("pairs is not null").select("key", "n_words", F.explode("pairs").alias("s")).select("key", "n_words", "s.*")
+    start = F.floor(F.col("at") / half).cast("int") * half
+    last = F.floor(F.greatest(F.col("n_words") - half - 1, F.lit(0)) / half) * half
+    met = met.select("key", "t", F.explode(F.filter(F.array(start, start - half), lambda s: (s >= 0) & (s <= last))).alias("at"))
+    blocks = met.groupBy("key", "at").agg(F.array_intersect(_literal(ranked), F.collect_set("t")).alias("b"))
     met = blocks.select("key", "at", "b", F.posexplode("b").alias("j", "t")).join(F.broadcast(table), "t")
     met = met.where((F.size("b") >= F.col("need")) & (F.least(F.col("size") - F.col("i"), F.size("b") - F.col("j")) + F.least("i", "j") >= F.col("need")))
     candidates = met.select("key", "at", "b", "template").distinct()
@@ -136,9 +149,8 @@ def license_scan(
     at = F.transform("places", lambda s: s["at"])
     base_set = F.coalesce(F.array_sort(F.array_distinct(F.transform("places", lambda s: s["label"]))), F.expr("cast(array() as array<string>)"))
     both = F.array_sort(F.array_union(base_set, F.coalesce("found", F.expr("cast(array() as array<string>)"))))
-    n_base = F.coalesce(F.size("places"), F.lit(0))
-    n_base = F.when(F.col("places").isNull(), F.lit(0)).otherwise(n_base)
-    return base.join(method, "key", "left").select(
+    n_base = F.when(F.col("places").isNull(), F.lit(0)).otherwise(F.size("places"))
+    return base.drop("pairs", "held").join(method, "key", "left").select(
         "doc_id", "n_words", n_base.cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"),
         F.array_join(base_set, ",").alias("base_labels"), F.array_join(both, ",").alias(label_col),
         F.when(n_base > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"),

@@ -153,7 +153,8 @@ def test_licenses_match_brute_force(spark, real):
     texts = [r.text for r in real.collect()] + [
         None, "", "License", "MIT License", "the MIT-License and Apache license; GENERAL PUBLIC LICENSE mit license", "license mit license",
         "word " * 500 + licenses.TEMPLATES[1][1] + " tail" * 70, "Redistribution and use in source or binary forms, with or without change, are permitted provided that the following conditions are met",
-        "Licensed under CC BY NC 4.0", "licensed under cc", "é mit é license",
+        "Licensed under CC BY NC 4.0", "licensed under cc", "é mit é license", "... mit license!", "  ", "L\u0130CENSE wor\u212a mit l\u0130cense", "MIT LICENSE " * 3000,
+        "word " * 300000 + licenses.TEMPLATES[3][1],
     ]
     docs = documents(spark, [(k, t, "s") for k, t in enumerate(texts)]).withColumn("labels", F.lit("x"))
     got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
