@@ -1,4 +1,4 @@
-"""Toxic documents by a subsequence string kernel, Nystroem landmarks and a linear support vector machine."""
+"""Toxic documents by a subsequence string kernel over sentences, Nystroem landmarks and a support vector machine."""
 
 from __future__ import annotations
 
@@ -16,6 +16,10 @@ from ._words import CHUNK, mix, text_buffer
 ORDER, SPAN, DECAY = 4, 6, 0.8
 PATTERNS = [(0, *p) for p in combinations(range(1, SPAN), ORDER - 1)]
 START = 63
+#: A sentence without an end is cut after so many words.
+SENTENCE = 24
+#: The length of a usual insult's feature map, and the power of the words' kernel.
+UNIT, POWER = 1.7, 2
 # Usual digit and sign substitutions for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
@@ -44,78 +48,103 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass
 class Words:
-    """Words of some rows: flat codes (START first in each), where they begin, their rows."""
+    """Words of some rows: flat codes (START first in each), where they begin, their rows, their
+    sentences (numbered through) and the bytes at which they begin."""
 
     codes: np.ndarray
     begin: np.ndarray
     row: np.ndarray
+    sentence: np.ndarray
+    byte: np.ndarray
+
+
+def _nothing() -> Words:
+    none = np.empty(0, np.int64)
+    return Words(np.empty(0, np.uint8), np.zeros(1, np.int64), none, none, none)
 
 
 def _split(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Cut the rows of a byte buffer into words; signs inside a word are skipped and runs of
-    single letters with white space between them count as one word."""
+    single letters with white space between them count as one word.  A sentence ends after
+    '.', '!' or '?' before white space, at a new line, and after SENTENCE words."""
     at = offsets - offsets[0]
     raw = data[offsets[0] : offsets[-1]]
-    lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    leads = (raw & 0xC0) != 0x80
     cp = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    places = lead[at]
+    places = np.concatenate([[0], np.cumsum(leads, dtype=np.int32)])[at]
     codes = _CODES[np.minimum(cp, 0xFFFF)]
     space = codes == 255
-    brk = np.zeros(len(cp) + 1, np.int64)
+    brk = np.zeros(len(cp) + 1, np.int32)
     brk[:-1] = space
     np.add.at(brk, places[places < len(cp)], 1)
-    keep = np.flatnonzero(~space & (codes > 0))
+    keep = np.flatnonzero(~space & (codes > 0)).astype(np.int32)
     if not len(keep):
-        return Words(np.empty(0, np.uint8), np.zeros(1, np.int64), np.empty(0, np.int64))
-    level = np.cumsum(brk)[keep]
-    first = np.concatenate([[True], level[1:] != level[:-1]])
-    heads = np.flatnonzero(first)
+        return _nothing()
+    over = np.append(space, True)
+    over[places[1:-1]] = True
+    stop = (cp == 10) | ((cp == 46) | (cp == 33) | (cp == 63)) & over[1:]
+    ends = np.cumsum(stop, dtype=np.int32)
+    level = np.cumsum(brk, dtype=np.int32)[keep]
+    heads = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]]))
     row = np.searchsorted(places, keep[heads], "right") - 1
     size = np.diff(np.append(heads, len(keep)))
     glue = np.zeros(len(heads), bool)
     glue[1:] = (size[1:] == 1) & (size[:-1] == 1) & (row[1:] == row[:-1])
     heads, row = heads[~glue], row[~glue]
-    return Words(np.insert(codes[keep], heads, START), np.append(heads + np.arange(len(heads)), len(keep) + len(heads)), row)
-
-
-def _vocabulary(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Distinct words of some texts and the distinct (text, word) pairs, block by block: only the
-    words of one block are ever spelt out, which bounds what the driver holds."""
+    first = keep[heads]
+    own = ends[first]
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (row[1:] != row[:-1])])
+    begin = np.flatnonzero(new)
+    rank = np.arange(len(heads)) - np.repeat(begin, np.diff(np.append(begin, len(heads))))
+    sentence = np.cumsum(rank % SENTENCE == 0) - 1
+    return Words(np.insert(codes[keep], heads, START), np.append(heads + np.arange(len(heads)), len(keep) + len(heads)), row, sentence, np.flatnonzero(leads)[first])
+
+
+def _pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, Words]]:
+    """(first row, words) of runs of rows of about ``most`` bytes.  A longer text comes in pieces, each
+    of which begins at the sentence that the last one left unfinished, so that no word and no sentence
+    depends on where a piece ends."""
     data, offsets = text_buffer(texts)
-    codes, sizes, hashes, docs, own = [], [], [], [], []
-    row, last, seen = 0, len(offsets) - 1, 0
+    row, last = 0, len(offsets) - 1
     while row < last:
-        stop = min(last, max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK // 2, "right")) - 1))
-        words = _split(data, offsets[row : stop + 1])
-        if len(words.row):
-            distinct, which = _distinct(words)
-            pairs = np.unique((words.row.astype(np.int64) + row) << 32 | which)
-            codes.append(distinct.codes)
-            sizes.append(np.diff(distinct.begin))
-            hashes.append(_hashes(distinct))
-            docs.append(pairs >> 32)
-            own.append((pairs & 0xFFFFFFFF) + seen)
-            seen += len(distinct.row)
-        row = stop
-    if not codes:
-        return Words(np.empty(0, np.uint8), np.zeros(1, np.int64), np.empty(0, np.int64)), np.empty(0, np.int64), np.empty(0, np.int64)
-    every = Words(np.concatenate(codes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.empty(0, np.int64))
-    _, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    pairs = np.unique(np.concatenate(docs) << 32 | which[np.concatenate(own)])
-    return _pick(every, first), pairs >> 32, pairs & 0xFFFFFFFF
-
-
-def _pick(words: Words, first: np.ndarray) -> Words:
+        if offsets[row + 1] - offsets[row] <= most:
+            stop = min(last, max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1))
+            yield row, _split(data, offsets[row : stop + 1])
+            row = stop
+            continue
+        begin, end, take = int(offsets[row]), int(offsets[row + 1]), most
+        while begin < end:
+            cut = min(begin + take, end)
+            while cut < end and data[cut] & 0xC0 == 0x80:
+                cut += 1
+            words = _split(data, np.array([begin, cut]))
+            if cut == end:
+                yield row, words
+                break
+            # What may go on behind the cut is read again: the whole last sentence.
+            later = words.byte[words.sentence == words.sentence[-1]][:1] if len(words.row) else np.zeros(0, np.int64)
+            if len(later) and later[0] > 0:
+                done = words.byte < later[0]
+                yield row, Words(words.codes[: words.begin[done.sum()]], words.begin[: done.sum() + 1], words.row[done], words.sentence[done], words.byte[done])
+                begin, take = begin + int(later[0]), most
+            elif len(words.row):
+                take *= 2
+            else:
+                begin, take = cut, most
+        row += 1
+
+
+def _pick(words: Words, which: np.ndarray) -> Words:
     """The listed words alone."""
-    lengths = np.diff(words.begin)[first]
+    lengths = np.diff(words.begin)[which]
     begin = np.concatenate([[0], np.cumsum(lengths)])
-    take = np.arange(begin[-1]) - np.repeat(begin[:-1], lengths) + np.repeat(words.begin[first], lengths)
-    return Words(words.codes[take], begin, np.arange(len(first)))
+    take = np.arange(begin[-1]) - np.repeat(begin[:-1], lengths) + np.repeat(words.begin[which], lengths)
+    return Words(words.codes[take], begin, words.row[which], words.sentence[which], words.byte[which])
 
 
 def _hashes(words: Words) -> np.ndarray:
     size = np.diff(words.begin)
-    inside = np.arange(len(words.codes)) - np.repeat(words.begin[:-1], size)
+    inside = np.arange(len(words.codes), dtype=np.int32) - np.repeat(words.begin[:-1].astype(np.int32), size)
     powers = np.multiply.accumulate(np.full(int(size.max()), _STEP, np.uint64))
     return mix(np.add.reduceat(_TABLE[words.codes] * powers[inside], words.begin[:-1]))
 
@@ -126,9 +155,18 @@ def _distinct(words: Words) -> tuple[Words, np.ndarray]:
     return _pick(words, first), which
 
 
+def _bags(words: Words) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, the different words of each sentence in turn, where each sentence's begin, and its row."""
+    distinct, which = _distinct(words)
+    pairs = np.unique(words.sentence << 32 | which)
+    number, which = pairs >> 32, pairs & 0xFFFFFFFF
+    heads = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    return distinct, which, heads, words.row[np.searchsorted(words.sentence, number[heads])]
+
+
 def _subsequences(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each pattern of gaps: words, packed letters, weight."""
-    owner = np.repeat(np.arange(len(words.begin) - 1), np.diff(words.begin))
+    owner = np.repeat(np.arange(len(words.begin) - 1, dtype=np.int32), np.diff(words.begin))
     left = words.begin[owner + 1] - np.arange(len(owner))
     wide = words.codes.astype(np.int32)
     for p in PATTERNS:
@@ -139,104 +177,65 @@ def _subsequences(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, float]
         yield owner[i], packed, DECAY ** (p[-1] + 1)
 
 
-def _map(strings: list[np.ndarray]) -> list[dict[int, float]]:
-    """Explicit feature maps of short strings."""
-    words = Words(np.concatenate(strings), np.concatenate([[0], np.cumsum([len(s) for s in strings])]), np.empty(0))
-    found: list[dict[int, float]] = [{} for _ in strings]
-    for owner, packed, weight in _subsequences(words):
-        for o, u in zip(owner.tolist(), packed.tolist(), strict=True):
-            found[o][u] = found[o].get(u, 0.0) + weight
-    return found
+def _maps(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Known subsequences and, for each of them and each word, its weight in the word's unit feature map."""
+    packs, owners, weights = zip(*[(packed, owner, np.full(len(owner), weight)) for owner, packed, weight in _subsequences(words)], strict=True)
+    known, ident = np.unique(np.concatenate(packs), return_inverse=True)
+    maps = np.zeros((len(known), len(words.row)))
+    np.add.at(maps, (ident, np.concatenate(owners)), np.concatenate(weights))
+    return known, maps / np.sqrt((maps**2).sum(axis=0))
 
 
 class Kernel:
-    """Kernel values of words against landmarks, each divided by the landmark's own value."""
-
-    def __init__(self, landmarks: list[np.ndarray]):
-        self.landmarks = landmarks
-        maps = _map(landmarks)
-        known = {u: k + 1 for k, u in enumerate(sorted({u for m in maps for u in m}))}
-        self.weights = np.zeros((len(known) + 1, len(landmarks)), np.float32)
-        for j, m in enumerate(maps):
-            own = sum(v * v for v in m.values())
-            for u, v in m.items():
-                self.weights[known[u], j] = v / own
-        self.known, self.lookup = known, None
-
-    def __getstate__(self):
-        return self.__dict__ | {"lookup": None}
-
-    def words(self, words: Words) -> np.ndarray:
-        if self.lookup is None:
-            self.lookup = np.zeros(1 << 6 * ORDER, np.uint16)
-            self.lookup[list(self.known)] = list(self.known.values())
+    """K(s, t) = sum over the different words of two sentences of (subsequence kernel of the words / UNIT)^POWER.
+
+    A sum of powers of inner products, so positive semidefinite.  Landmarks are one-word sentences; their
+    feature maps are scaled to UNIT, and words of a text aren't scaled, so that a word inside a longer run
+    counts in full."""
+
+    def __init__(self, landmarks: Words):
+        known, maps = _maps(landmarks)
+        self.n = len(landmarks.row)
+        self.gram = np.clip(maps.T @ maps, 0, 1) ** POWER
+        used, which = np.unique(known >> 12, return_inverse=True)
+        self.page = np.zeros(4096, np.int32)
+        self.page[used] = np.arange(1, len(used) + 1) << 12
+        self.ident = np.zeros((len(used) + 1) << 12, np.uint16)
+        self.ident[(which + 1 << 12) + (known & 4095)] = np.arange(1, len(known) + 1)
+        self.weights = np.vstack([np.zeros((1, self.n)), maps / UNIT]).astype(np.float32)
+
+    def words(self, words: Words, block: int = 8192) -> np.ndarray:
+        """The kernel of every word with every landmark."""
+        out = np.zeros((len(words.row), self.n), np.float32)
         owners, ids, weights = [], [], []
         for owner, packed, weight in _subsequences(words):
-            hit = self.lookup[packed]
+            hit = self.ident[self.page[packed >> 12] + (packed & 4095)]
             some = np.flatnonzero(hit)
             owners.append(owner[some])
             ids.append(hit[some])
             weights.append(np.full(len(some), weight, np.float32))
         owner, ident, weight = (np.concatenate(x) for x in (owners, ids, weights))
-        out = np.zeros((len(words.begin) - 1, len(self.landmarks)), np.float32)
-        if len(owner):
-            order = np.argsort(owner, kind="stable")
-            owner = owner[order]
-            heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            for at in range(0, len(heads), 20000):
-                part = heads[at : at + 20000]
-                end = heads[at + 20000] if at + 20000 < len(heads) else len(owner)
-                own = order[part[0] : end]
-                out[owner[part]] = np.add.reduceat(self.weights[ident[own]] * weight[own, None], part - part[0], axis=0)
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+        for at in range(0, len(heads), block):
+            part = heads[at : at + block]
+            own = order[part[0] : heads[at + block] if at + block < len(heads) else len(owner)]
+            out[owner[part]] = np.add.reduceat(self.weights[ident[own]] * weight[own, None], part - part[0], axis=0) ** POWER
         return out
 
-    def rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each text the largest kernel value of any of its words, by landmark."""
-        out = np.zeros((len(offsets) - 1, len(self.landmarks)), np.float32)
-        words = _split(data, offsets)
-        if len(words.row):
-            distinct, which = _distinct(words)
-            values = self.words(distinct)
-            some = np.flatnonzero((values.max(axis=1) > 0.05)[which])
-            row = words.row[some]
-            if len(some):
-                heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                out[row[heads]] = np.maximum.reduceat(values[which[some]], heads, axis=0)
-        return out
 
-    def texts(self, texts: pa.Array) -> np.ndarray:
-        data, offsets = text_buffer(texts)
-        out, row, last = [np.zeros((0, len(self.landmarks)), np.float32)], 0, len(offsets) - 1
-        while row < last:
-            if offsets[row + 1] - offsets[row] > CHUNK:
-                out.append(self._long(data[offsets[row] : offsets[row + 1]]))
-                row += 1
-                continue
-            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
-            out.append(self.rows(data, offsets[row : min(stop, last) + 1]))
-            row = min(stop, last)
-        return np.concatenate(out)
-
-    def _long(self, data: np.ndarray) -> np.ndarray:
-        """One very long text, in pieces cut at spaces and overlapping by a few hundred bytes."""
-        best = np.zeros((1, len(self.landmarks)), np.float32)
-        begin = 0
-        while begin < len(data):
-            end = min(begin + CHUNK, len(data))
-            while end < len(data) and data[end] & 0xC0 == 0x80:
-                end += 1
-            best = np.maximum(best, self.rows(data, np.array([begin, end])))
-            if end == len(data):
-                break
-            begin = end - 256
-            while data[begin] & 0xC0 == 0x80:
-                begin -= 1
-        return best
+def _sums(values: np.ndarray, which: np.ndarray, heads: np.ndarray, block: int = 8192) -> np.ndarray:
+    """Sums of ``values[which]`` from each head to the next."""
+    bounds = np.append(heads, len(which))
+    parts = [np.add.reduceat(values[which[bounds[k] : bounds[min(k + block, len(heads))]]], heads[k : k + block] - bounds[k], axis=0) for k in range(0, len(heads), block)]
+    return np.concatenate(parts)
 
 
 @dataclass
 class Model:
-    """Landmarks, whitened linear decision and calibration; ``kernel`` is None if nothing tells the classes apart."""
+    """Decision on sentences, its offset and the calibration of a document's largest margin;
+    ``kernel`` is None where the labels hold one class only."""
 
     kernel: Kernel | None
     direction: np.ndarray
@@ -244,112 +243,139 @@ class Model:
     slope: float
     shift: float
 
+    def margins(self, texts: pa.Array, most: int = CHUNK) -> np.ndarray:
+        """The largest decision on any sentence of each text; the offset for texts without words."""
+        out = np.full(len(texts), -np.inf)
+        for first, words in _pieces(texts, most):
+            if len(words.row):
+                distinct, which, heads, row = _bags(words)
+                value = self.kernel.words(distinct) @ self.direction
+                np.maximum.at(out, first + row, _sums(value, which, heads))
+        return np.where(np.isfinite(out), out, 0.0) + self.offset
+
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.kernel is None:
             return np.full(len(texts), 1 / (1 + np.exp(-self.shift)))
-        margin = self.kernel.texts(texts).astype(np.float64) @ self.direction + self.offset
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
-
-
-def _choose(texts: pa.Array, toxic: np.ndarray, landmarks: int, cover: int = 8) -> list[np.ndarray]:
-    """Substrings of 4 to 7 letters (a word's start counts as one) that mark class 1, picked
-    greedily so that each document of class 1 is covered up to ``cover`` times by landmarks that
-    stand in different documents."""
-    distinct, doc, word = _vocabulary(texts)
-    if not len(distinct.row):
-        return []
-    spread = np.bincount(word[toxic[doc] == 1], minlength=len(distinct.row))
-    use = spread >= 1
-    owner = np.repeat(np.arange(len(distinct.row)), np.diff(distinct.begin))
-    left = distinct.begin[owner + 1] - np.arange(len(owner))
-    grams: list[tuple[float, int, np.ndarray, np.ndarray]] = []
-    n1, n0 = max(1, int((toxic == 1).sum())), max(1, int((toxic == 0).sum()))
-    by_word = np.argsort(word, kind="stable")
-    bounds = np.searchsorted(word[by_word], np.arange(len(distinct.row) + 1))
-    for n in range(4, 8):
-        i = np.flatnonzero((left >= n) & use[owner])
-        h = np.zeros(len(i), np.uint64)
-        for k in range(n):
-            h = h * _STEP + _TABLE[distinct.codes[i + k]]
-        h = mix(h)
-        size1 = np.bincount(np.unique(h, return_inverse=True)[1], weights=spread[owner[i]])
-        kinds, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        cut = np.searchsorted(inverse[order], np.arange(len(kinds) + 1))
-        for g in np.flatnonzero(size1 >= max(3, 0.004 * n1)):
-            members = np.unique(owner[i[order[cut[g] : cut[g + 1]]]])
-            docs = np.unique(np.concatenate([doc[by_word[bounds[w] : bounds[w + 1]]] for w in members]))
-            t = toxic[docs]
-            p1, p0 = (t == 1).sum() / n1, ((t == 0).sum() + 0.5) / n0
-            if p1 > 3 * p0 and (t == 1).sum() >= 3:
-                grams.append((p1 * np.log(p1 / p0) * (1 + n / 8), n, distinct.codes[i[first[g]] : i[first[g]] + n], docs[t == 1]))
-    grams.sort(key=lambda x: (-x[0], -x[1]))
-    grams = grams[:4000]
-    chosen: list[np.ndarray] = []
-    if not grams:
-        return chosen
-    values = np.array([x[0] for x in grams])
-    held = np.zeros((len(grams), len(toxic)), np.float32)
-    for k, x in enumerate(grams):
-        held[k, x[3]] = 1
-    size = held.sum(axis=1)
-    need = np.where(toxic == 1, cover, 0)
-    while len(chosen) < landmarks:
-        gain = (held @ (need > 0).astype(np.float32)) * (values > 0)
-        if gain.max() < 2:
-            break
-        best = int((gain * (0.2 + values / values.max())).argmax())
-        chosen.append(grams[best][2])
-        need[grams[best][3]] -= 1
-        both = held @ held[best]
-        values[both > 0.7 * (size + size[best] - both)] = 0  # another spelling of the same evidence
-        values[best] = 0
-        if not values.max():
-            break
-    return chosen
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -30, 30)))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, start: np.ndarray | None = None) -> np.ndarray:
     """Weights (the last is the offset) of the squared-hinge support vector machine, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1]) * penalty
+    w = np.zeros(x.shape[1] + 1) if start is None else start
+    ridge = np.eye(len(w)) * penalty
     ridge[-1, -1] = 1e-6
-    for _ in range(40):
-        inside = y * (x @ w) < 1
-        own, wt = x[inside], weight[inside][:, None]
-        new = np.linalg.solve(ridge + own.T @ (own * wt), own.T @ (y[inside] * weight[inside]))
-        if np.abs(new - w).max() < 1e-9:
+    for _ in range(30):
+        a, b = ridge.copy(), np.zeros(len(w))
+        for at in range(0, len(x), 8192):
+            own = np.hstack([x[at : at + 8192].astype(float), np.ones((len(x[at : at + 8192]), 1))])
+            side, wt = y[at : at + 8192], weight[at : at + 8192]
+            inside = (side * (own @ w) < 1) & (wt > 0)
+            own, side, wt = own[inside], side[inside], wt[inside]
+            a += own.T @ (own * wt[:, None])
+            b += own.T @ (side * wt)
+        new = np.linalg.solve(a, b)
+        if np.abs(new - w).max() < 1e-7:
             break
         w = new
     return w
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, prior: float, landmarks: int = 64) -> Model:
-    """Fit on texts and their 0/1 labels; ``prior`` is the share of label 1 among all labelled rows."""
+def _choose(every: Words, word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, n: int) -> np.ndarray:
+    """``n`` words of labelled sentences as landmarks, three quarters of them from class 1.
+
+    One by one, the word that the sentences of its class hold most beyond those of the other class, by the
+    documents that earlier landmarks leave unexplained (each halves a document's share)."""
+    pairs = np.unique(word.astype(np.int64) << 32 | doc)
+    word, doc = pairs >> 32, pairs & 0xFFFFFFFF
+    bounds = np.searchsorted(word, np.arange(len(every.row) + 1))
+    share = 1 / np.bincount(toxic, minlength=2)[toxic]
+    held = [np.bincount(word, weights=share[doc] * (toxic[doc] == c), minlength=len(every.row)) for c in (0, 1)]
+    usable = (np.diff(every.begin) >= ORDER) & (np.diff(bounds) >= 3)
+    out: list[int] = []
+    for c, most in ((1, n - n // 4), (0, n // 4)):
+        left = share * (toxic == c)
+        for _ in range(most):
+            gain = np.bincount(word, weights=left[doc], minlength=len(usable)) - held[1 - c]
+            gain = np.where(usable, gain / np.sqrt(held[0] + held[1] + 1e-3), -1.0)
+            best = int(gain.argmax())
+            if gain[best] <= 0:
+                break
+            out.append(best)
+            usable[best] = False
+            left[doc[bounds[best] : bounds[best + 1]]] *= 0.5
+    return np.array(out, np.int64)
+
+
+def fit(texts: pa.Array, toxic: np.ndarray, prior: float, landmarks: int = 64, rounds: int = 5, penalty: float = 0.05) -> Model:
+    """Fit on texts and their 0/1 labels; ``prior`` is the share of label 1 among all labelled rows.
+
+    Sentences carry their document's label.  Those of class 0 are all examples; of a document of class 1
+    the sentence that the machine of the round before rates highest is one (at first each of its
+    sentences, with the document's weight shared out)."""
+    toxic = np.asarray(toxic).astype(np.int64)
     base = float(np.log(np.clip(prior, 1e-4, 1 - 1e-4) / (1 - np.clip(prior, 1e-4, 1 - 1e-4))))
-    chosen = _choose(texts, toxic, landmarks) if 0 < toxic.sum() < len(toxic) else []
-    if not chosen:
-        return Model(None, np.empty(0), 0.0, 1.0, base)
-    kernel = Kernel(chosen)
-    maps = _map(chosen)
-    own = np.array([sum(v * v for v in m.values()) for m in maps])
-    gram = np.array([[sum(v * b.get(u, 0.0) for u, v in a.items()) for b in maps] for a in maps]) / np.sqrt(np.outer(own, own))
-    value, vector = np.linalg.eigh(gram)
+    none = Model(None, np.empty(0), 0.0, 1.0, base)
+    spelt, word_of, doc, heads, seen, words_seen = [], [], [], [], 0, 0
+    for first, w in _pieces(texts, CHUNK) if 0 < toxic.sum() < len(toxic) else ():  # only distinct words of a piece stay spelt out
+        if not len(w.row):
+            continue
+        distinct, which, head, row = _bags(w)
+        heads.append(head + words_seen)
+        doc.append(first + row)
+        word_of.append(which + seen)
+        spelt.append(distinct)
+        seen, words_seen = seen + len(distinct.row), words_seen + len(which)
+    if not spelt:
+        return none
+    every = Words(np.concatenate([x.codes for x in spelt]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x.begin) for x in spelt]))]), *[np.zeros(seen, np.int64)] * 3)
+    every, which = _distinct(every)
+    word_of, doc, heads = which[np.concatenate(word_of)].astype(np.int32), np.concatenate(doc), np.concatenate(heads)
+    chosen = _choose(every, word_of, np.repeat(doc, np.diff(np.append(heads, len(word_of)))), toxic, landmarks)
+    if not len(chosen):
+        return none
+    kernel = Kernel(_pick(every, chosen))
+    value, vector = np.linalg.eigh(kernel.gram)
     whiten = vector / np.sqrt(np.clip(value, 0.05, None))
-    x = kernel.texts(texts).astype(float) @ whiten
-    y = np.where(toxic == 1, 1.0, -1.0)
-    weight = np.where(y > 0, prior / max(1, (y > 0).sum()), (1 - prior) / max(1, (y < 0).sum())) * len(y)
-    w = _machine(x, y, weight, 0.05)
-    margin = x @ w[:-1] + w[-1]
-    slope, shift = 4.0, 0.0
-    for _ in range(50):  # calibration on the margins, kept finite by a weak prior on the slope
-        p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -30, 30)))
+    x = (_sums(kernel.words(every), word_of, heads) @ whiten).astype(np.float32)
+    y = np.where(toxic[doc] == 1, 1.0, -1.0)
+    per_doc = np.bincount(doc, minlength=len(toxic))
+    n1, n0 = len(np.unique(doc[y > 0])), max(1, len(np.unique(doc[y < 0])))
+    shared = np.where(y > 0, prior / max(1, n1), (1 - prior) / n0) * len(toxic)
+    weight = shared / per_doc[doc]
+    for turn in range(rounds):
+        w = _machine(x, y, weight, penalty)
+        score = x @ w[:-1] + w[-1]
+        order = np.lexsort((-score, doc))
+        best = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
+        weight = np.where(y > 0, 0.0, shared / per_doc[doc])
+        weight[best] = shared[best]
+    margin = np.full(len(toxic), w[-1])
+    margin[doc[best]] = score[best]
+    slope, shift = _calibrate(margin, toxic, prior)
+    return Model(kernel, whiten @ w[:-1], float(w[-1]), slope, shift)
+
+
+def _calibrate(margin: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of the logistic curve over documents' margins, kept finite by a weak prior."""
+    weight = np.where(toxic == 1, prior / max(1, (toxic == 1).sum()), (1 - prior) / max(1, (toxic == 0).sum())) * len(toxic)
+    at = np.array([4.0, 0.0])
+
+    def loss(v: np.ndarray) -> float:
+        z = v[0] * margin + v[1]
+        return float((weight * (np.logaddexp(0, z) - toxic * z)).sum() + (v[0] - 4) ** 2 / 2 + 0.05 * v[1] ** 2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * margin + at[1], -30, 30)))
         h = weight * np.clip(p * (1 - p), 1e-9, None)
-        g = np.array([(weight * (y / 2 + 0.5 - p) * margin).sum() - (slope - 4.0), (weight * (y / 2 + 0.5 - p)).sum() - 0.1 * shift])
+        g = np.array([(weight * (toxic - p) * margin).sum() - (at[0] - 4), (weight * (toxic - p)).sum() - 0.1 * at[1]])
         a = np.array([[(h * margin**2).sum() + 1, (h * margin).sum()], [(h * margin).sum(), h.sum() + 0.1]])
         step = np.linalg.solve(a, g)
-        slope, shift = slope + step[0], shift + step[1]
-    return Model(kernel, whiten @ w[:-1], float(w[-1]), float(max(slope, 0.1)), float(shift))
+        while loss(at + step) > loss(at) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        at = at + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(at[0], 0.1)), float(at[1])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -358,7 +384,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, longest: int = 100_000, landmarks: int = 64) -> Model:
-    """Fit on at most ``per_class`` documents of each label (those of least id hash among the
+    """Fit on the sentences of at most ``per_class`` documents of each label (those of least id hash among the
     rows that may be learnt from) of at most ``longest`` characters; this bound is what the
     driver holds.  Rows with null id or label are skipped, repeated labels count once (the larger)."""
     usable = (
@@ -384,7 +410,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, longest:
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score", drop_from: float | None = None) -> DataFrame:
     """``docs`` with a double ``out_col``: the calibrated chance of label 1 of every whole text
     (null counts as empty).  With ``drop_from`` the rows of that score or more are left out and no
-    column is added.  Columns of ``docs`` pass through; ``out_col`` must not be one of them."""
+    column is added.  Columns of ``docs`` pass through; a column named ``out_col`` is replaced."""
+    docs = docs if drop_from is not None else docs.drop(out_col)
     at = docs.columns.index(text_col)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType(docs.schema.fields + ([] if drop_from is not None else [T.StructField(out_col, T.DoubleType())]))
@@ -394,7 +421,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
-                values = own.score(batch.column(at))
+                values = own.score(batch.column(at).cast(pa.string()))
                 if drop_from is not None:
                     yield batch.filter(pa.array(values < drop_from))
                 else:
@@ -406,7 +433,9 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **more) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (score >= threshold).
 
-    Empty and null texts get the score of a text without any landmark; a null id is not held out.
+    A document's score is that of its worst sentence: a support vector machine on the sentences' kernel
+    values with landmark words of both classes, whitened by the landmarks' Gram matrix.  Nothing depends on
+    how a text is cut for processing, whatever its length.  Empty and null texts get the score of a text without any landmark; a null id is not held out.
     Without labels of both classes every score is the prior."""
     model = train(docs, labels, **more)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -3,13 +3,14 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from harmonia.llm import decontaminate, embedding_dedup, licenses, minhash, mixing, quality, registry, secrets, sharding, token_counts, toxicity  # noqa: E402
+from harmonia.llm import _words, decontaminate, embedding_dedup, licenses, minhash, mixing, quality, registry, secrets, sharding, token_counts, toxicity  # noqa: E402
 from harmonia.llm._graph import connected_components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -327,8 +328,8 @@ def test_toxicity_on_held_out_labels(spark):
     labels = labels.withColumn("text", F.lit("clash"))
     rows = toxicity.toxicity(docs.join(labels.select("doc_id"), "doc_id"), labels).join(labels, "doc_id").where("held_out").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and r.predicted == (r.score >= 0.3) for r in rows)
-    assert np.mean([r.predicted for r in rows if r.toxic == 1]) > 0.75
-    assert np.mean([r.predicted for r in rows if r.toxic == 0]) < 0.05
+    assert np.mean([r.predicted for r in rows if r.toxic == 1]) > 0.8
+    assert np.mean([r.predicted for r in rows if r.toxic == 0]) < 0.03
 
 
 def test_toxicity_edges_and_gaps(spark):
@@ -344,25 +345,63 @@ def test_toxicity_edges_and_gaps(spark):
     assert len({r.score for r in toxicity.toxicity(docs.limit(5), labels.limit(0)).collect()}) == 1
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+    scored = toxicity.score(docs.withColumn("score", F.lit("x")), toxicity.train(docs, labels))
+    assert dict(scored.dtypes)["score"] == "double" and scored.count() == docs.count()
 
 
-def test_kernel_matches_enumeration():
+def phi(s):
     from itertools import combinations
 
-    def phi(s):
-        out = {}
-        for c in combinations(range(len(s)), toxicity.ORDER):
-            if c[-1] - c[0] < toxicity.SPAN:
-                u = tuple(s[k] for k in c)
-                out[u] = out.get(u, 0.0) + toxicity.DECAY ** (c[-1] - c[0] + 1)
-        return out
+    out = {}
+    for c in combinations(range(len(s)), toxicity.ORDER):
+        if c[-1] - c[0] < toxicity.SPAN:
+            u = tuple(s[k] for k in c)
+            out[u] = out.get(u, 0.0) + toxicity.DECAY ** (c[-1] - c[0] + 1)
+    return out
+
+
+def dot(a, b):
+    return sum(v * b.get(u, 0.0) for u, v in a.items())
 
-    code = lambda s: np.array([ord(c) - 96 for c in s], np.uint8)
+
+def spelt(words):
+    codes = [np.array([ord(c) - 96 for c in w], np.uint8) for w in words]
+    none = np.zeros(len(words), np.int64)
+    return toxicity.Words(np.concatenate(codes), np.concatenate([[0], np.cumsum([len(w) for w in words])]), none, none, none)
+
+
+def test_kernel_matches_enumeration():
     marks, words = ["clown", "abcabc", "zzzzz"], ["clown", "clxown", "abcxabc", "zzzz", "abc", "downtown"]
-    flat = toxicity.Words(np.concatenate([code(w) for w in words]), np.concatenate([[0], np.cumsum([len(w) for w in words])]), np.arange(len(words)))
-    got = toxicity.Kernel([code(m) for m in marks]).words(flat)
-    for i, w in enumerate(words):
-        for j, m in enumerate(marks):
-            a, b = phi(w), phi(m)
-            want = sum(v * b.get(u, 0.0) for u, v in a.items()) / sum(v * v for v in b.values())
-            assert got[i, j] == pytest.approx(want, rel=1e-5)
+    kernel = toxicity.Kernel(spelt(marks))
+    got = kernel.words(spelt(words))
+    for j, m in enumerate(marks):
+        b = phi(m)
+        for i, w in enumerate(words):
+            assert got[i, j] == pytest.approx((dot(phi(w), b) / dot(b, b) ** 0.5 / toxicity.UNIT) ** toxicity.POWER, rel=1e-4, abs=1e-6)
+        for k, n in enumerate(marks):
+            want = (dot(b, phi(n)) / (dot(b, b) * dot(phi(n), phi(n))) ** 0.5) ** toxicity.POWER
+            assert kernel.gram[j, k] == pytest.approx(want, rel=1e-4, abs=1e-6)
+    assert np.linalg.eigvalsh(kernel.gram).min() > -1e-9
+
+
+def test_margin_is_the_worst_sentence_whatever_the_pieces():
+    rng = np.random.default_rng(9)
+    clean = [f"{''.join(rng.choice(list('abdehlmnorstu'), 7))}" for _ in range(300)]
+    line = lambda n: " ".join(rng.choice(clean, n))
+    texts = [f"{line(9)}. {line(5)} {'vexquilt ' if k % 2 else ''}{line(4)}! {line(30)}" for k in range(200)]
+    model = toxicity.fit(pa.array(texts), np.arange(200) % 2, 0.5)
+    long = [line(60000) + " v e x q u i l t " + line(60000), "x" * 700_000 + " vexquilt", line(3) + "\n" + "é" * 300_000 + ". vexquilt", "mustabs " * 90_000, " " * 900_000 + "vexquilt"]
+    every = pa.array([*texts[:20], *long, None, "", "...", line(40)])
+    whole = model.margins(every, 1 << 30)
+    for most in (1000, 1 << 14, 1 << 19):
+        assert np.allclose(model.margins(every, most), whole, atol=1e-9)
+    assert (whole[[20, 21, 22, 24]] > whole[-1] + 0.5).all()
+    for k, t in enumerate(texts[:20]):
+        best = -np.inf
+        for part in t.replace("! ", "!\n").replace(". ", ".\n").split("\n"):
+            tokens = part.split()
+            for at in range(0, len(tokens), toxicity.SENTENCE):
+                bag = sorted({x.strip(".!") for x in tokens[at : at + toxicity.SENTENCE]})
+                words = toxicity._split(*_words.text_buffer(pa.array([" ".join(bag)])))
+                best = max(best, float((model.kernel.words(words) @ model.direction).sum()))
+        assert whole[k] == pytest.approx(best + model.offset, rel=1e-5)
