@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ._graph import connected_components
@@ -103,13 +104,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), BANDS)
 
 
+def _runs(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts (columns 2 and 3) have about ``most`` bytes, one row at least."""
+    size = np.cumsum(sum(pc.binary_length(batch.column(k)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3)))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def _verify(percent: int, n_words: int):
     """Exact Jaccard of the two texts of each row, on their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in _runs(whole):
                 left = {r: shingle_set(w, n_words) for r, w in word_hashes(batch.column(2))}
                 keep = np.zeros(batch.num_rows, bool)
                 for r, w in word_hashes(batch.column(3)):
@@ -216,7 +226,7 @@ def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, floor: float, p
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, n_words: int = 5, slack: float = 0.12
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, n_words: int = 5, slack: float = 0.16
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -303,15 +313,42 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", percent: int = 80, **more) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group (the smallest id), all columns kept.
-    Rows with a null id stay; rows that repeat a kept id stay once."""
-    gone = near_duplicates(docs, id_col=id_col, percent=percent, **more).where("not kept").select(F.col("doc_id").alias(id_col))
-    gone = stash(gone.distinct())
-    twice = stash(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, **more) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, all columns kept.
+
+    Documents are told apart by a hash of id and text, so an id that two different texts share loses neither
+    unless it is a copy; of rows with equal id and text one stays.  The smallest id of a group stays (by a
+    hash where ids tie).  Null, blank and null-id rows link with nothing by id: a null-id row always stays,
+    blank texts stay once per id."""
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    gone, twice = _losers(docs, id_col, text_col, key, percent, more)
     side = lambda ids: F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    kept = docs.join(side(gone), id_col, "left_anti")
+    named = docs.withColumn(KEY, F.when(F.col(id_col).isNotNull(), key))
+    kept = named.join(side(gone), KEY, "left_anti")
     if twice.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(side(twice), id_col, "left_anti").select(docs.columns)
-    return once.unionByName(kept.join(side(twice), id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns))
+    once = kept.join(side(twice), KEY, "left_anti").select(docs.columns)
+    return once.unionByName(kept.join(side(twice), KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns))
+
+
+#: Name of the row key while rows are filtered.
+KEY = "_near_duplicate_key"
+
+
+def _losers(docs: DataFrame, id_col: str, text_col: str, key, percent: int, more: dict) -> tuple[DataFrame, DataFrame]:
+    """Keys of rows that go, and keys that stand in several rows."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), key.alias("k"))
+    counts = rows.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("k").alias("keys")).where("n > 1")
+    again = stash(counts)
+    torn = again.where("keys > 1").select("id")
+    if torn.isEmpty():  # an id is one document: link by id
+        found = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent, **more).where("not kept").select(F.col("doc_id").alias("id"))
+        gone = stash(rows.join(found.distinct(), "id").select(F.col("k").alias(KEY)).distinct())
+    else:  # link by key, then keep the smallest (id, key) of each class
+        by_key = docs.where(F.col(id_col).isNotNull()).select(key.alias("_k"), F.col(text_col).alias("_t"))
+        found = near_duplicates(by_key, id_col="_k", text_col="_t", percent=percent, **more).select(F.col("doc_id").alias("k"), "component_id").distinct()
+        ranked = stash(rows.distinct().join(found, "k"))
+        best = ranked.groupBy("component_id").agg(F.min(F.struct("id", "k")).alias("best"))
+        gone = stash(ranked.join(best, "component_id").where(F.struct("id", "k") != F.col("best")).select(F.col("k").alias(KEY)).distinct())
+    twice = stash(rows.join(again.select("id"), "id", "left_semi").groupBy("k").count().where("count > 1").select(F.col("k").alias(KEY)))
+    return gone, twice

@@ -64,6 +64,18 @@ def test_near_duplicates_edges(spark):
     assert sorted(str(r.doc_id) for r in left) == ["900001", "900002", "900003", "900004", "900006", "900007", "None"]
 
 
+def test_an_id_with_two_texts_loses_neither(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey")
+    docs = documents(spark, [(1, a, "s"), (2, a, "s"), (2, b, "s"), (2, b, "t"), (3, b, "s"), (4, c, "s"), (4, c, "s"), (None, a, "s"), (None, a, "s")])
+    left = sorted((str(r.doc_id), r.text) for r in minhash.drop_near_duplicates(docs.withColumn("_k", F.lit(0))).collect())
+    assert left == [("1", a), ("2", b), ("4", c), ("None", a), ("None", a)]
+
+
+def test_verification_is_bounded_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([5, 6, 7, 8]), pa.array(["a" * 50, None, "b" * 10, ""]), pa.array(["c" * 60, "d", None, ""])], names=list("abcd"))
+    assert [x.num_rows for x in minhash._runs(batch, 100)] == [1, 3] and [x.num_rows for x in minhash._runs(batch.slice(1), 5)] == [1, 1, 1]
+
+
 def test_likelihood_estimate_is_near_the_truth():
     rng = np.random.default_rng(1)
     for j in (0.3, 0.6, 0.9):
