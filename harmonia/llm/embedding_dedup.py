@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._graph import connected_components
+from ._memory import lean_batches, lean_groups
 from ._store import discard, stash
 
 #: Rows of one side of a tile, and how many leading dimensions a step of the comparison adds.
@@ -53,7 +54,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Orthonormal axes by falling variance for each vector length present; summed on the executors."""
-    parts = vectors.select("embedding").mapInArrow(_moments, "dim int, s array<double>")
+    parts = vectors.select("embedding").mapInArrow(lean_batches(_moments), "dim int, s array<double>")
     rows = parts.select("dim", F.posexplode("s").alias("p", "v")).groupBy("dim", "p").agg(F.sum("v").alias("v")).collect()
     flat: dict[int, dict[int, float]] = {}
     for d, p, v in rows:
@@ -181,7 +182,7 @@ def near_vectors(embeddings: DataFrame, *, threshold: float = 0.98) -> DataFrame
     axes = principal_axes(rows.where(F.col("label").isNotNull()))
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     schema = "vec_id long, label long, dim int, hi long, lo long, cx int, cy int, embedding array<double>"
-    placed = rows.mapInArrow(_place(axes, width), schema).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    placed = rows.mapInArrow(lean_batches(_place(axes, width)), schema).withColumn("embedding", F.col("embedding").cast("array<double>"))
     placed = stash(placed)
     exact = ["label", "dim", "hi", "lo"]
     usable = placed.where("dim > 0 and vec_id is not null")
@@ -204,7 +205,7 @@ def near_vectors(embeddings: DataFrame, *, threshold: float = 0.98) -> DataFrame
         F.when(mine <= theirs, 0).otherwise(1).alias("side"), "node", "copies", "embedding",
     )
     found = stash(
-        dealt.groupBy("label", "dim", "x1", "y1", "t1", "x2", "y2", "t2").applyInArrow(_tile(axes, threshold), "node long, links long, root long")
+        dealt.groupBy("label", "dim", "x1", "y1", "t1", "x2", "y2", "t2").applyInArrow(lean_groups(_tile(axes, threshold)), "node long, links long, root long")
     )
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

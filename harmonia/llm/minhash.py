@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ._graph import connected_components
+from ._memory import lean_batches, lean_groups
 from ._store import discard, stash
 from ._words import shingle_set, word_hashes
 
@@ -215,12 +216,12 @@ def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, floor: float, p
     """Pairs (a, b) that pass the estimate and the exact check, materialised."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.array(*KEYS).alias(f"k{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb")
-    pairs = stash(both.mapInArrow(_estimate(floor), "a long, b long").distinct())
+    pairs = stash(both.mapInArrow(lean_batches(_estimate(floor)), "a long, b long").distinct())
     needed = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     own = _only(texts, needed)
     text = lambda x: own.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     full = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb")
-    links = stash(full.mapInArrow(_verify(percent, n_words), "a long, b long").distinct())
+    links = stash(full.mapInArrow(lean_batches(_verify(percent, n_words)), "a long, b long").distinct())
     discard(pairs, needed)
     return links
 
@@ -245,7 +246,7 @@ def near_duplicates(
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch, schema = _sketch(n_words)
-    every = stash(texts.mapInArrow(sketch, schema))
+    every = stash(texts.mapInArrow(lean_batches(sketch), schema))
     floor = percent / 100 - slack
     usable = every.where("n_shingles > 0 and doc_id is not null")
     reps = stash(
@@ -286,10 +287,10 @@ def near_duplicates(
             F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "pivot", "component", "n_shingles", "ks",
         )
     )
-    promising = stash(open_rows.groupBy("band", "key", "i", "j").applyInArrow(_promising(floor), open_rows.schema))
+    promising = stash(open_rows.groupBy("band", "key", "i", "j").applyInArrow(lean_groups(_promising(floor)), open_rows.schema))
     needed = stash(promising.select(F.col("node").alias("doc_id")).distinct())
     full = promising.join(_only(texts, needed).select(F.col("doc_id").alias("node"), "text"), "node")
-    later = stash(full.groupBy("band", "key", "i", "j").applyInArrow(_settle(floor, percent, n_words), "a long, b long").distinct())
+    later = stash(full.groupBy("band", "key", "i", "j").applyInArrow(lean_groups(_settle(floor, percent, n_words)), "a long, b long").distinct())
     contracted = (
         later.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._memory import lean_batches
 from ._words import text_buffer, word_hashes
 
 SIGNALS = ("letters", "capitals", "signs", "distinct", "echo", "lines", "endings", "length")
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, *, sample: int = 4000, longest: int = 100_000) -> tuple
     at most ``sample`` different texts (least hash, at most ``longest`` characters each), which is
     all the text that the driver holds."""
     text = docs.select(F.col("text").cast("string").alias("text"))
-    found = text.mapInArrow(_vote, "pattern long").groupBy("pattern").count().orderBy("pattern").collect()
+    found = text.mapInArrow(lean_batches(_vote), "pattern long").groupBy("pattern").count().orderBy("pattern").collect()
     model = label_model(_unpack(np.array([r[0] for r in found], np.int64)), np.array([r[1] for r in found], float))
     hashed = text.where(F.length("text") <= longest).select("text", F.xxhash64("text").alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
@@ -201,4 +202,4 @@ def quality(docs: DataFrame, *, threshold: float = 0.5, sample: int = 4000) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=names)
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, n_good long, n_bad long, posterior double, score double, keep boolean")
+    return ids.mapInArrow(lean_batches(run), "doc_id long, n_good long, n_bad long, posterior double, score double, keep boolean")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._graph import connected_components
+from ._memory import lean_batches
 from ._store import discard, stash
 from ._words import shingle_set, word_hashes
 from .minhash import band_keys, registers
@@ -128,7 +129,7 @@ def find_secrets(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"),
         F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.col(text_col).cast("string").alias("text"),
     )
-    scanned = own.mapInArrow(_scan, f"doc_id long, repo string, owner string, spans {_SPAN}, sketch array<long>")
+    scanned = own.mapInArrow(lean_batches(_scan), f"doc_id long, repo string, owner string, spans {_SPAN}, sketch array<long>")
     scanned = stash(scanned.withColumn("row", F.monotonically_increasing_id()))
     each = scanned.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s")).select("row", "repo", "owner", "s.*")
     sketches = scanned.where(F.size("spans") > 0).select("row", "sketch")

@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ._memory import lean_batches
+
 #: Fixed value: the usual pre-split pattern of byte-level BPE rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _built: dict[int, object] = {}
@@ -38,7 +40,7 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, *, text_col: str = "text")
             sizes = [len(encoder.encode_ordinary(t.as_py())) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["n_tokens"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "n_tokens long")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(lean_batches(run), "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

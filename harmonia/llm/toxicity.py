@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ._memory import lean_batches
 from ._words import CHUNK, mix, text_buffer
 
 #: Subsequences have ORDER letters within SPAN places; each place costs a factor DECAY.
@@ -427,7 +428,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
                 else:
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, out_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean_batches(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **more) -> DataFrame:
@@ -452,7 +453,7 @@ def _slim(ids: DataFrame, model: Model) -> DataFrame:
             values = shipped.value.score(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(values)], names=["doc_id", "held_out", "score"])
 
-    return ids.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return ids.mapInArrow(lean_batches(run), "doc_id long, held_out boolean, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **more) -> DataFrame:
