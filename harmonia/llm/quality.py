@@ -25,8 +25,9 @@ RULES = {
     "length": (5.0, 8.0, True),
 }
 BUCKETS = 1 << 14
-#: Distinct-word shares mean little in texts shorter or longer than this; that labeller abstains.
-DISTINCT_WORDS = (30, 3000)
+#: Distinct words are counted in runs of WINDOW words, so that length alone changes nothing; PRIOR words of
+#: a middling share keep the labeller undecided about very short texts.
+WINDOW, PRIOR, MIDDLING = 512, 15, 0.45
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _CAPITAL = np.zeros(256, bool)
@@ -35,6 +36,12 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:!?'\"()-"]] = True
 
 
+def distinct_share(words: np.ndarray) -> float:
+    """Share of distinct words, by runs of WINDOW words, shrunk to MIDDLING by PRIOR words."""
+    runs = [words[k : k + WINDOW] for k in range(0, len(words), WINDOW)]
+    return (sum(len(np.unique(r)) for r in runs) + PRIOR * MIDDLING) / (len(words) + PRIOR)
+
+
 def signals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(rows x SIGNALS), (word counts) and word hashes of each whole text; nulls are empty."""
     data, offsets = text_buffer(texts)
@@ -50,7 +57,7 @@ def signals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         letters = _LETTER[own] & ((own & 0xC0) != 0x80)
         lines = [x.strip() for x in own.tobytes().split(b"\n")]
         lines = [x for x in lines if x]
-        signs, distinct = _SIGN[own].sum() / leads, len(np.unique(words)) / len(words)
+        signs, distinct = _SIGN[own].sum() / leads, distinct_share(words)
         echo = float((words[1:] == words[:-1]).mean()) if len(words) > 1 else 0.0
         ends = sum(x[-1:] in b".!?" for x in lines) / max(1, len(lines))
         out[row] = (
@@ -67,8 +74,6 @@ def votes(values: np.ndarray, n_words: np.ndarray) -> np.ndarray:
         x = values[:, k]
         out[x <= low, k] = 1 if falling else 0
         out[x >= high, k] = 0 if falling else 1
-    short = (n_words < DISTINCT_WORDS[0]) | (n_words > DISTINCT_WORDS[1])
-    out[short, SIGNALS.index("distinct")] = 2
     out[n_words == 0] = 0
     return out
 

@@ -200,34 +200,39 @@ def test_shards(spark, real):
     assert sharding.shards(docs.limit(0)).count() == 0
 
 
-def test_allocation_redistributes_among_siblings_first():
-    stock = {("a", "x"): 10.0, ("a", "y"): 100.0, ("b", "x"): 100.0, ("b", "y"): 100.0}
-    got = mixing.allocate(stock, 100.0)
-    assert got == {("a", "x"): 10.0, ("a", "y"): 40.0, ("b", "x"): 25.0, ("b", "y"): 25.0}
-    got = mixing.allocate(stock, 300.0)
-    assert got == {("a", "x"): 10.0, ("a", "y"): 100.0, ("b", "x"): 95.0, ("b", "y"): 95.0}
-    assert mixing.allocate(stock, 60.0, {("b",): 0.0}) == {("a", "x"): 10.0, ("a", "y"): 50.0, ("b", "x"): 0.0, ("b", "y"): 0.0}
-    assert mixing.allocate({}, 5.0) == {}
+def allocated(spark, stock, budget, weights=None, epochs=1.0):
+    df = spark.createDataFrame([(*k, v) for k, v in stock.items()], "l0 string, l1 string, tokens double")
+    return {(r.l0, r.l1): r.target for r in mixing.allocate(df, ["l0", "l1"], budget, weights, epochs).collect()}
 
 
-def test_mixture_takes_prefixes(spark, real):
-    docs = real.withColumn("domain", F.pmod("doc_id", F.lit(2))).unionByName(edge_docs(spark).withColumn("domain", F.lit(None).cast("long")))
-    rows = mixing.mix(docs, share=0.6, epochs=3.0, seed=4).collect()
-    assert len(rows) == docs.count()
-    words = {r.doc_id: len(brute.SPACE.findall(r.text or "")) for r in docs.collect()}
-    leaves = {}
-    for r in rows:
-        assert r.tokens == words[r.doc_id]
-        leaves.setdefault((r.domain, r.lang, r.source), []).append(r)
-    stock = {leaf: float(sum(r.tokens for r in own)) for leaf, own in leaves.items()}
-    want = mixing.allocate(stock, 0.6 * sum(stock.values()), None, 3.0)
-    for leaf, own in leaves.items():
-        assert own[0].target == pytest.approx(want[leaf], abs=0.01)
-        took = sum(r.tokens * r.copies for r in own)
-        assert took <= own[0].target + 1e-3
-        left = [r.tokens for r in own if r.copies == min(x.copies for x in own)]
-        if took < own[0].target - 1:
-            assert max(left) > own[0].target - took or len(own) == len(left)
+def test_allocation_redistributes_among_siblings_first(spark):
+    stock = {("a", "x"): 10.0, ("a", "y"): 100.0, ("b", "x"): 100.0, ("b", "y"): 100.0}
+    cases = [(100.0, None, {("a", "x"): 10.0, ("a", "y"): 40.0, ("b", "x"): 25.0, ("b", "y"): 25.0}), (300.0, None, {("a", "x"): 10.0, ("a", "y"): 100.0, ("b", "x"): 95.0, ("b", "y"): 95.0})]
+    cases.append((60.0, {("b",): 0.0}, {("a", "x"): 10.0, ("a", "y"): 50.0, ("b", "x"): 0.0, ("b", "y"): 0.0}))
+    for budget, weights, want in cases:
+        assert allocated(spark, stock, budget, weights) == pytest.approx(want) and brute.allocate(stock, budget, weights) == pytest.approx(want)
+    assert allocated(spark, {}, 5.0) == {}
+    rng = np.random.default_rng(5)
+    stock = {(f"d{rng.integers(0, 6)}" if k % 9 else None, f"s\"{k}é"): float(rng.integers(0, 500)) for k in range(120)}
+    weights = {("d1",): 3.0, ("d2",): 0.0, ("d3",): 0.25, (None,): 2.0} | {k: float(rng.integers(0, 3)) for k in list(stock)[:60]}
+    for share in (0.02, 0.3, 0.8, 1.9, 2.5):
+        budget = share * sum(stock.values())
+        assert allocated(spark, stock, budget, weights, 2.0) == pytest.approx(brute.allocate(stock, budget, weights, 2.0), abs=1e-6)
+
+
+@pytest.mark.parametrize("bins, detail", [(10, 1024), (3, 2)])
+def test_mixture_matches_brute_force(spark, real, monkeypatch, bins, detail):
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "DETAIL", detail)
+    docs = real.withColumn("domain", F.pmod("doc_id", F.lit(2))).unionByName(edge_docs(spark).withColumn("domain", F.lit(None).cast("long"))).withColumn("target", F.lit("x"))
+    full = sorted({0, 1, 2, 3})
+    named = docs.select("doc_id", "domain", "lang", "source", "text", *[F.xxhash64(mixing.row_key(), F.lit(4), F.lit(k)).alias(f"h{k}") for k in full]).collect()
+    for share, weights in ((0.6, None), (1.7, {("0",): 0.3, ("1",): 1.0})):
+        rows = [(r, (None if r.domain is None else str(r.domain), r.lang, r.source), len(brute.SPACE.findall(r.text or ""))) for r in named]
+        want = brute.mixture(rows, share * sum(t for _, _, t in rows), weights, 3.0, lambda r, k: r[f"h{k}"])
+        got = mixing.mix(docs, share=share, weights=weights, epochs=3.0, seed=4).collect()
+        told = sorted((str(r.doc_id), r.tokens, r.copies) for r in got)
+        assert told == sorted((str(r.doc_id), t, c) for (r, _, t), c in zip(rows, want, strict=True))
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
@@ -323,6 +328,15 @@ def test_quality_agrees_with_held_out_labels(spark):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def test_votes_and_posteriors_match_brute_force(spark, real):
+    rows = [(r.doc_id, r.text) for r in real.collect()] + [(5000, None), (5001, ""), (5002, "one"), (5003, "word " * 2999), (5004, "word " * 3001), (5005, " ".join(f"w{k}" for k in range(29)))]
+    got = {r.doc_id: r for r in quality.quality(documents(spark, [(i, t, "s") for i, t in rows])).collect()}
+    votes = [brute.quality_votes(t) for _, t in rows]
+    for (i, _), v, p in zip(rows, votes, brute.label_posteriors(votes), strict=True):
+        assert (got[i].n_good, got[i].n_bad) == (v.count(1), v.count(0)) and got[i].posterior == pytest.approx(p, abs=1e-5), i
+    assert votes[-2] == votes[-3]
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(20000) < 0.7
