@@ -149,36 +149,40 @@ def acc_bands(
 def term_scale(xi: DataFrame, sums: DataFrame, l_star: int) -> DataFrame:
     """(ch1, ch2, d, m, x): what each Wick term of a run with leakage is multiplied by, raw kernels given.
 
-    ``xi(l1, l2, x00, x20, xee, xeb)``, ``sums(ch1, ch2, d, s)`` with s the raw kernel's sum.  The term's norm is
-    Xi^(w) rho^(k/2) c over that sum: w is half its letters other than T, k its leaked ones, rho = xeb / xee, and c by
-    class - scalar pairs take Xi^00 itself; without leaked letters 1 - c falls as rho; pairs of mixed letters
-    relax from c at the central multipole to a quarter; all others keep it."""
-    rho = F.greatest(safe_divide("xeb", "xee"), F.lit(0.0))
-    base = xi.withColumn("rho", rho).where("l2 >= l1").withColumn("d", F.col("l2") - F.col("l1"))
-    letters = F.concat("ch1", "ch2")
-    pairs = sums.withColumn("w", F.length(F.regexp_replace(letters, "T", "")) / 2).withColumn("k", F.length(F.regexp_replace(letters, "[^L]", "")))
-
-    def norm(p: str) -> Column:
-        x = {n: F.col(p + n) for n in ("x00", "x20", "xee", "rho")}
-        between = x["x00"] * F.pow(F.greatest(safe_divide(x["x20"], x["x00"]), F.lit(0.0)), F.col("w"))
-        ladder = F.when(F.col("w") == 0, x["x00"]).when(F.col("w") == 1, x["x20"]).when(F.col("w") == 2, x["xee"]).otherwise(between)
-        return ladder * F.when(F.col("k") == 0, 1.0).otherwise(F.pow(x["rho"], F.col("k") / 2))
-
-    star = base.where(F.col("l1") == l_star).select("d", *[F.col(n).alias(f"s_{n}") for n in ("x00", "x20", "xee", "rho")])
-    own = F.broadcast(pairs.join(star, "d").withColumn("star", norm("s_")))
-    rows = base.join(own, "d").withColumn("here", norm(""))
-    n_star = (2 * l_star + 1) * (2 * (l_star + F.col("d")) + 1)
-    bad = ~(F.col("star") > 0)
-    c_star = F.when(bad, F.raise_error(F.concat(F.lit("norm not positive at the central multipole: "), letters))).otherwise(F.try_divide("s", n_star * F.col("star")))
-    sign = F.when(c_star >= 0, 1.0).otherwise(-1.0)
-    relax = (2 * l_star + F.col("d") + 1) / (2 * F.col("l1") + F.col("d") + 1)
-    cross = sign * F.least(F.greatest(sign * (0.25 * sign + (c_star - 0.25 * sign) * relax), F.lit(0.0)), F.lit(0.5))
-    deficit = 1 - (1 - c_star) * F.try_divide("rho", "s_rho")
-    mixed = ["TL", "LT", "DL", "LD"]
-    c = F.when(F.col("k") == 0, deficit).when((F.col("ch1") != "LL") & (F.col("ch2") != "LL") & F.col("ch1").isin(mixed) & F.col("ch2").isin(mixed), cross).otherwise(c_star)
-    scale = F.when((F.col("ch1") == "TT") & (F.col("ch2") == "TT"), F.try_divide("x00", "s"))
-    scale = scale.when((F.col("k") > 0) & ~(F.col("ch1").isin(mixed) & F.col("ch2").isin(mixed)), F.try_divide("here", n_star * F.col("star")))
-    return rows.select("ch1", "ch2", "d", F.col("l1").alias("m"), scale.otherwise(F.try_divide(F.col("here") * c, F.col("s"))).alias("x"))
+    ``xi(l1, l2, x00, x20, xee, xeb)``, ``sums(ch1, ch2, d, s)`` with s the raw kernel's sum.  Letters predict a sum
+    P = Xi^(spin) (xeb / xee)^(turned / 2) per mode pair: spin is half the letters other than T, turned counts the
+    leaked ones.  The kernel's efficiency e is its sum over the prediction at the centre, and x = P e(m) / s, where
+    e(m) follows from e by the kernel's class: ``RULES`` below."""
+    count = lambda of, letters: F.length(F.regexp_replace(F.concat(*of), f"[^{letters}]", ""))
+    one_each = (count(["ch1"], "L") == 1) & (count(["ch2"], "L") == 1)
+    kinds = sums.select("*", (count(["ch1", "ch2"], "DL") / 2).alias("spin"), count(["ch1", "ch2"], "L").alias("turned"))
+    kinds = kinds.withColumn("rule", F.when(F.col("spin") == 0, "scalar").when(F.col("turned") == 0, "direct").when(one_each, "crossed").otherwise("held"))
+
+    pairs = xi.where("l2 >= l1").select("l1", (F.col("l2") - F.col("l1")).alias("d"), "x00", "x20", "xee", F.greatest(safe_divide("xeb", "xee"), F.lit(0.0)).alias("mixing"))
+    centre = pairs.where(F.col("l1") == l_star).drop("l1").select("d", F.struct("x00", "x20", "xee", "mixing").alias("centre"))
+    rows = pairs.select("l1", "d", F.struct("x00", "x20", "xee", "mixing").alias("here")).join(F.broadcast(kinds.join(centre, "d")), "d")
+
+    def predicted(at: str) -> Column:
+        power = F.pow(F.greatest(safe_divide(f"{at}.x20", f"{at}.x00"), F.lit(0.0)), F.col("spin"))
+        tabulated = F.element_at(F.create_map(F.lit(0.0), F.col(f"{at}.x00"), F.lit(1.0), F.col(f"{at}.x20"), F.lit(2.0), F.col(f"{at}.xee")), F.col("spin").cast("double"))
+        return F.coalesce(tabulated, F.col(f"{at}.x00") * power) * F.when(F.col("turned") > 0, F.pow(f"{at}.mixing", F.col("turned") / 2)).otherwise(1.0)
+
+    modes = (2 * l_star + 1) * (2 * (l_star + F.col("d")) + 1)
+    rows = rows.withColumn("p", predicted("here")).withColumn("p_centre", predicted("centre"))
+    checked = F.when(F.col("p_centre") > 0, F.col("p_centre")).otherwise(F.raise_error(F.concat(F.lit("prediction not positive at the central multipole: "), "ch1", "ch2")))
+    rows = rows.withColumn("e", F.try_divide("s", modes * checked))
+    up = F.when(F.col("e") >= 0, 1.0).otherwise(-1.0)
+    nearness = (2 * l_star + F.col("d") + 1) / (2 * F.col("l1") + F.col("d") + 1)
+    RULES = {
+        "scalar": F.try_divide("here.x00", "s"),
+        # What a direct kernel lacks falls with the mixing.
+        "direct": F.try_divide(F.col("p") * (1 - (1 - F.col("e")) * F.try_divide("here.mixing", "centre.mixing")), "s"),
+        # Crossed ones go to a quarter of their sign far from the centre, and stay between 0 and a half of it.
+        "crossed": F.try_divide(F.col("p") * up * F.greatest(F.lit(0.0), F.least(F.lit(0.5), 0.25 + (F.abs("e") - 0.25) * nearness)), "s"),
+        "held": F.try_divide("p", modes * checked),
+    }
+    x = F.coalesce(*[F.when(F.col("rule") == rule, value) for rule, value in RULES.items()])
+    return rows.select("ch1", "ch2", "d", F.col("l1").alias("m"), x.alias("x"))
 
 
 def normalisation_consistency(sums: DataFrame, xi: DataFrame, l_star: int) -> DataFrame:

@@ -138,31 +138,30 @@ def nodes(lmax: int, first: int = 32, ratio: float = 1.25, cut: float | None = N
     return sorted(out)
 
 
-def probes(ell: int, lmax: int, count: int, seed: int) -> tuple[bool, list[np.ndarray]]:
-    """Real-field probes at degree ``ell`` as full coefficients; the complete basis if it is no larger."""
-    def full(m_values: np.ndarray) -> np.ndarray:
-        a = np.zeros((lmax + 1, 2 * lmax + 1), complex)
-        m = np.arange(ell + 1)
-        a[ell, lmax + m] = m_values
-        a[ell, lmax - m] = (-1.0) ** m * np.conj(m_values)
-        return a
+def probe_coefficients(ell: int, count: int, seed: int) -> np.ndarray:
+    """Rows of coefficients (m = 0..ell) of real unit fields of degree ``ell``.
 
+    A whole orthonormal basis where 2 ell + 1 fields are no more than ``count``, else ``count`` Gaussian draws.
+    Draw order (a probe's real parts, then its imaginary ones) is fixed, so equal seeds give equal probes."""
+    turn = np.array([1, 1j]) / math.sqrt(2)
     if 2 * ell + 1 <= count:
-        basis = []
-        for m in range(ell + 1):
-            for part in (1, 1j) if m else (1,):
-                v = np.zeros(ell + 1, complex)
-                v[m] = part if m == 0 else part / math.sqrt(2)
-                basis.append(full(v))
-        return True, basis
-    rng = np.random.default_rng([seed, ell])
-    out = []
-    for _ in range(count):
-        re, im = rng.normal(size=ell + 1), rng.normal(size=ell + 1)
-        v = (re + 1j * im) / math.sqrt(2)
-        v[0] = re[0]
-        out.append(full(v))
-    return False, out
+        rows = np.kron(np.eye(ell + 1), turn[:, None])
+        rows[0, 0] = 1
+        return np.delete(rows, 1, axis=0)
+    drawn = np.random.default_rng([seed, ell]).normal(size=(count, 2, ell + 1))
+    rows = np.einsum("p,npm->nm", turn, drawn)
+    rows[:, 0] = drawn[:, 0, 0]
+    return rows
+
+
+def probes(ell: int, lmax: int, count: int, seed: int) -> Iterator[np.ndarray]:
+    """The fields of ``probe_coefficients`` one after the other, as full coefficients [l, m + lmax]."""
+    sign = (-1.0) ** np.arange(ell + 1)
+    for row in probe_coefficients(ell, count, seed):
+        a = np.zeros((lmax + 1, 2 * lmax + 1), complex)
+        a[ell, lmax - ell : lmax + 1] = (sign * row.conj())[::-1]
+        a[ell, lmax : lmax + ell + 1] = row
+        yield a
 
 
 def filtered_sums(spark: SparkSession, mask: Callable, profile: Callable, lmax: int, lw: int, at: Sequence[int], count: int = 32, seed: int = 0) -> DataFrame:
@@ -183,7 +182,7 @@ def filtered_sums(spark: SparkSession, mask: Callable, profile: Callable, lmax:
         for b in batches:
             for node in b.column(0).to_pylist():
                 sums = {c: np.zeros((2, lmax + 1)) for c in ("00", "20", "EE")}
-                for z in probes(node, lmax, count, seed)[1]:
+                for z in probes(node, lmax, count, seed):
                     for k, g in enumerate((filt, same)):
                         back = grid.analysis(g(w * grid.synthesis(z)))
                         sums["00"][k] += n(grid.analysis(w * g(grid.synthesis(back))))

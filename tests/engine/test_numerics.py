@@ -137,11 +137,26 @@ def test_no_filter_gives_ratio_one_and_a_high_pass_less(spark):
 
 
 def test_probes():
-    exact, basis = sky.probes(3, 5, 8, 0)
-    assert exact and len(basis) == 7
-    again = [sky.probes(6, 8, 4, 2)[1] for _ in range(2)]
-    assert all((a == b).all() for a, b in zip(*again, strict=True)) and len(again[0]) == 4
-    assert sky.nodes(100)[-1] == 99 and len(sky.nodes(100, cut=40.0)) > len(sky.nodes(100))
+    basis = list(sky.probes(3, 5, 8, 0))
+    flat = np.array([a.ravel() for a in basis])
+    assert np.allclose(flat @ flat.conj().T, np.eye(7))
+    again = [list(sky.probes(6, 8, 4, 2)) for _ in range(2)]
+    assert len(again[0]) == 4 and all((x == y).all() for x, y in zip(*again, strict=True))
+    m = np.arange(9)
+    for a in [*basis, *again[0]]:
+        top = len(a) - 1
+        assert np.allclose(a[:, top::-1], a[:, top:].conj() * (-1.0) ** m[: top + 1])
+    rng = np.random.default_rng([2, 6])  # draws in the documented order
+    re, im = rng.normal(size=7), rng.normal(size=7)
+    first = (re + 1j * im) / np.sqrt(2)
+    assert np.allclose(sky.probe_coefficients(6, 4, 2)[0], np.where(np.arange(7) == 0, re, first))
+
+
+def test_running_integrals_are_exact_for_polynomials():
+    s = N.integrals_upto(9, -0.3)
+    x, _ = N.gauss_legendre(9, -0.3, 1.0)
+    for k in range(9):
+        assert np.allclose(s @ x**k, (x ** (k + 1) - (-0.3) ** (k + 1)) / (k + 1))
 
 
 def test_eigenvalues(spark):
