@@ -78,25 +78,34 @@ def polspice(wl: DataFrame | None, lmax: int, theta_max: float, kind: int = 1, s
     return spark.range(1).select(F.col("id").cast("int").alias("start")).coalesce(1).mapInArrow(run, "channel string, l1 int, l2 int, v double")
 
 
-def exact_rows(cl: DataFrame, mask: Callable[[np.ndarray, np.ndarray], np.ndarray], lmax: int, rows: Sequence[int], lw: int | None = None) -> DataFrame:
-    """(l1, l2, v): rows l2 of the exact TT covariance of a masked sky, one row per task, longest first.
+def _spread(spark: SparkSession, units: list[tuple], schema: str) -> DataFrame:
+    """One task for each unit, in the given order (dearest first)."""
+    rows = spark.createDataFrame([(k, *u) for k, u in enumerate(units)], f"unit int, {schema}")
+    return rows.repartitionByRange(max(1, min(len(units), 4096)), "unit")
 
-    ``mask(mu, phi)`` gives the window on the grid; ``lw`` is its band limit (default lmax)."""
+
+def exact_rows(
+    cl: DataFrame, mask: Callable[[np.ndarray, np.ndarray], np.ndarray], lmax: int, rows: Sequence[int], lw: int | None = None, modes_per_task: int = 64
+) -> DataFrame:
+    """(l1, l2, v): rows l2 of the exact TT covariance of a masked sky, ``modes_per_task`` modes of a row in a task, longest rows first.
+
+    ``mask(mu, phi)`` gives the window on the grid; ``lw`` is its band limit (default lmax).  Parts of a row are
+    summed by an aggregation, so a long row is not one long task."""
     c = vector(cl, "ell", "v", lmax + 1)
-    lg = lmax + (lw if lw is not None else lmax)
+    lg = N.minimal_band(lmax, lw if lw is not None else lmax)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = N.Grid(lmax, lg)
         phi = 2 * np.pi * np.arange(grid.n_phi) / grid.n_phi
         window = mask(grid.mu[:, None], phi[None, :])
         for b in batches:
-            for ell in b.column(0).to_pylist():
-                v = N.exact_row(window, grid, c, ell)
+            for ell, first in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                v = N.exact_row(window, grid, c, ell, np.arange(first, min(first + modes_per_task, ell + 1)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(lmax + 1, dtype=np.int32)), pa.array([ell] * (lmax + 1), pa.int32()), pa.array(v)], names=["l1", "l2", "v"])
 
-    order = sorted(rows, reverse=True)
-    asked = cl.sparkSession.createDataFrame([(int(x),) for x in order], "ell int").repartition(min(len(order), 512) or 1, "ell")
-    return asked.mapInArrow(run, "l1 int, l2 int, v double")
+    units = [(int(x), k) for x in sorted(rows, reverse=True) for k in range(0, int(x) + 1, modes_per_task)]
+    parts = _spread(cl.sparkSession, units, "ell int, first int").mapInArrow(run, "l1 int, l2 int, v double")
+    return parts.groupBy("l1", "l2").agg(F.sum("v").alias("v"))
 
 
 def exact_rows_polarised(
@@ -105,21 +114,20 @@ def exact_rows_polarised(
     """(left, right, l1, l2, v): rows l2 of the exact covariance of polarised spectra ``spectra(stokes, ell, v)``, a task for each row."""
     names = [r.stokes for r in spectra.select("stokes").distinct().collect()]
     cl = {s: vector(spectra.where(F.col("stokes") == s), "ell", "v", lmax + 1) for s in names}
-    lg, wanted = lmax + (lw if lw is not None else lmax), list(blocks)
+    lg, wanted = N.minimal_band(lmax, lw if lw is not None else lmax), list(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = N.Grid(lmax, lg)
         phi = 2 * np.pi * np.arange(grid.n_phi) / grid.n_phi
         window = mask(grid.mu[:, None], phi[None, :])
         for b in batches:
-            for ell in b.column(0).to_pylist():
+            for ell in b.column(1).to_pylist():
                 for (left, right), v in N.exact_row_polarised(window, grid, cl, ell, wanted).items():
                     n = lmax + 1
                     columns = [pa.array([left] * n), pa.array([right] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array([ell] * n, pa.int32()), pa.array(v)]
                     yield pa.RecordBatch.from_arrays(columns, names=["left", "right", "l1", "l2", "v"])
 
-    order = sorted(rows, reverse=True)
-    asked = spectra.sparkSession.createDataFrame([(int(x),) for x in order], "ell int").repartition(min(len(order), 512) or 1, "ell")
+    asked = _spread(spectra.sparkSession, [(int(x),) for x in sorted(rows, reverse=True)], "ell int")
     return asked.mapInArrow(run, "left string, right string, l1 int, l2 int, v double")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,41 +25,93 @@ def ring_layout(nside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return z, shift * 2 * math.pi / n, n
 
 
-def map_alm(values: np.ndarray, lmax: int, iterations: int = 3) -> np.ndarray:
-    """Coefficients a[l, m >= 0] of a ring-ordered map: equal weights, then Jacobi corrections."""
+def map_alm(values: np.ndarray, lmax: int, iterations: int = 3, block: int = 16) -> np.ndarray:
+    """Coefficients a[l, m >= 0] of a ring-ordered map: equal weights, then Jacobi corrections.
+
+    Legendre tables are made for ``block`` orders at a time and thrown away; pixels that aren't numbers, or
+    are the marker of unseen ones, count as 0 (``clean`` counts them)."""
+    values = clean(values)[0]
     nside = math.isqrt(len(values) // 12)
     if 12 * nside * nside != len(values):
         raise ValueError("not a whole sphere of equal-area pixels")
     z, phi0, n = ring_layout(nside)
     starts = np.concatenate([[0], np.cumsum(n)])
-    norm = np.sqrt((2 * np.arange(lmax + 1) + 1) / (4 * math.pi))
-    tables = [N.wigner_d(lmax, z, m, 0) * norm for m in range(lmax + 1)]
+    m = np.arange(lmax + 1)
+    turn = np.exp(1j * np.outer(phi0, m))
 
-    def forward(x):
-        rows = np.zeros((len(z), lmax + 1), complex)
-        for r in range(len(z)):
-            f = np.fft.fft(x[starts[r] : starts[r + 1]])
-            m = np.arange(lmax + 1)
-            rows[r] = f[m % n[r]] * np.exp(-1j * m * phi0[r])
-        return np.stack([tables[m].T @ rows[:, m] for m in range(lmax + 1)], axis=1) * (4 * math.pi / len(values))
+    def to_rings(x):
+        return np.stack([np.fft.fft(x[starts[r] : starts[r + 1]])[m % n[r]] for r in range(len(z))]) * turn.conj()
 
-    def back(a):
+    def to_map(rows):
         out = np.empty(len(values))
-        rows = np.stack([tables[m] @ a[:, m] for m in range(lmax + 1)], axis=1)
+        phase = rows * turn * np.where(m == 0, 1, 2)
         for r in range(len(z)):
-            m = np.arange(lmax + 1)
-            phase = rows[r] * np.exp(1j * m * phi0[r]) * np.where(m == 0, 1, 2)
             spec = np.zeros(n[r], complex)
-            np.add.at(spec, m % n[r], phase)
+            np.add.at(spec, m % n[r], phase[r])
             out[starts[r] : starts[r + 1]] = (np.fft.ifft(spec) * n[r]).real
         return out
 
-    a = forward(values)
-    for _ in range(iterations):
-        a = a + forward(values - back(a))
+    def by_orders(work):
+        for at in range(0, lmax + 1, block):
+            own = np.arange(at, min(at + block, lmax + 1))
+            for k, table in zip(own, N.harmonics(lmax, z, own), strict=True):
+                work(k, table)
+
+    a, left = np.zeros((lmax + 1, lmax + 1), complex), values
+    for step in range(iterations + 1):
+        rings, rows = to_rings(left) * (4 * math.pi / len(values)), np.zeros((len(z), lmax + 1), complex)
+
+        def correct(k, table, rings=rings, rows=rows):
+            a[:, k] += table.T @ rings[:, k]
+            rows[:, k] = table @ a[:, k]
+
+        by_orders(correct)
+        if step < iterations:
+            left = values - to_map(rows)
     return a
 
 
+#: Fixed value: what maps hold where nothing was observed.
+UNSEEN = -1.6375e30
+
+
+def clean(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """The map with 0 in place of pixels that aren't finite or are marked unseen, and how many those are."""
+    values = np.asarray(values, float)
+    bad = ~np.isfinite(values) | (np.abs(values - UNSEEN) <= 1e-5 * abs(UNSEEN))
+    return np.where(bad, 0.0, values), int(bad.sum())
+
+
+def ring_order(values: np.ndarray) -> np.ndarray:
+    """A map in nested order as one in ring order."""
+    nside = math.isqrt(len(values) // 12)
+    if 12 * nside * nside != len(values) or nside & (nside - 1):
+        raise ValueError("not a whole sphere of nested pixels")
+    p = np.arange(len(values))
+    face, inside = p // (nside * nside), p % (nside * nside)
+    x, y = np.zeros_like(p), np.zeros_like(p)
+    for bit in range(nside.bit_length()):
+        x |= (inside >> 2 * bit & 1) << bit
+        y |= (inside >> 2 * bit + 1 & 1) << bit
+    row, column = face // 4, face % 4
+    ring = (row + 2) * nside - x - y - 1
+    north = np.minimum(ring, 4 * nside - ring)
+    cap = north < nside
+    length = np.where(cap, north, nside)
+    shift = np.where(cap, 0, (ring - nside) & 1)
+    along = 2 * column + np.where(row == 1, 0, 1)
+    place = ((along * length + (x - y) + 1 + shift) // 2 - 1) % (4 * length)
+    before = np.concatenate([[0], np.cumsum(ring_layout(nside)[2])])[ring - 1]
+    out = np.empty_like(np.asarray(values, float))
+    out[before + place] = values
+    return out
+
+
+def nside_for(ell: int, spare: int = 100) -> int:
+    """A resolution that carries multipoles up to ``ell`` with ``spare`` more: a power of two, 128 at least."""
+    return max(128, 1 << (max(ell + spare, 2).bit_length() - 1))
+
+
 def power(a: np.ndarray) -> np.ndarray:
     """C_l of coefficients with m >= 0."""
     l = np.arange(len(a))  # noqa: E741
@@ -87,34 +140,94 @@ def mask_spectra(spark: SparkSession, values: np.ndarray, lmax: int) -> DataFram
     return spark.createDataFrame(rows, "which string, l int, wl double")
 
 
-def field_couplings(mask: np.ndarray, grid: N.Grid, ell: int) -> dict[str, np.ndarray]:
-    """Masked-harmonic integrals (m, L, M) of the scalar T, direct D and leaked L legs."""
-    out = {x: [] for x in "TDL"}
-    for m in range(-ell, ell + 1):
-        e = np.zeros((grid.lmax + 1, 2 * grid.lmax + 1), complex)
-        e[ell, m + grid.lmax] = 1
-        t = grid.analysis(mask * grid.synthesis(e))
-        plus, minus = (grid.analysis(mask * grid.synthesis(e, s), s) if ell >= 2 else t * 0 for s in (2, -2))
-        out["T"].append(t)
-        out["D"].append((plus + minus) / 2)
-        out["L"].append(1j * (plus - minus) / 2)
-    return {k: np.array(v) for k, v in out.items()}
-
-
-def coupling_kernels(spark: SparkSession, mask: Callable, lmax: int, lw: int, ell: int, dmax: int, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(ch1, ch2, d, i, j, v): K^{s1 s2} = Re sum_{mm'} Theta^{s1} conj Theta^{s2} at (ell, ell + d), a task for each d."""
+@dataclass(frozen=True)
+class Terms:
+    """Which orders of the two multipoles, which of their pairs and which distances |M - m| a kernel needs."""
+
+    orders: np.ndarray
+    orders_prime: np.ndarray
+    pairs: np.ndarray
+    band: int
+
+    def union(self, other: Terms) -> Terms:
+        """What either needs; ``pairs`` is over all orders of both multipoles."""
+        return Terms(np.union1d(self.orders, other.orders), np.union1d(self.orders_prime, other.orders_prime), self.pairs | other.pairs, max(self.band, other.band))
+
+
+def select_terms(mask: np.ndarray, grid: N.Grid, alm: np.ndarray, ell: int, prime: int, tolerance: float, spin: int = 0) -> Terms:
+    """Terms that carry the kernel at (ell, prime) up to a relative ``tolerance``; sharp for masks turned to the pole.
+
+    Orders are kept by their share of the mask's power (a tenth of the tolerance of the largest), pairs by the
+    product of both shares and the autocorrelation of the mask's azimuthal spectrum (a fortieth), and M by the
+    share of that spectrum within the band (all but a tenth)."""
+    if tolerance <= 0:
+        raise ValueError("tolerance must be positive")
+    top = alm.shape[1] - 1
+    half = (np.abs(alm) ** 2).sum(axis=0)
+    spectrum = np.concatenate([half[:0:-1], half]) / (half[0] + 2 * half[1:].sum())
+    likeness = np.zeros(4 * max(top, ell + prime) + 1)
+    middle = len(likeness) // 2
+    likeness[middle - 2 * top : middle + 2 * top + 1] = np.correlate(spectrum, spectrum, "full")
+    power, power_prime = (N.mode_power(mask, grid, x, spin) for x in (ell, prime))
+    one, two = power >= tolerance / 10 * power.max(), power_prime >= tolerance / 10 * power_prime.max()
+    m, mp = np.arange(-ell, ell + 1), np.arange(-prime, prime + 1)
+    weight = np.outer(power, power_prime) * likeness[middle + m[:, None] - mp[None, :]]
+    pairs = (weight >= tolerance / 40 * weight.max()) & np.outer(one, two)
+    within = np.cumsum(half * np.where(np.arange(top + 1) == 0, 1, 2)) / (half[0] + 2 * half[1:].sum())
+    band = min(int(np.searchsorted(within, 1 - tolerance / 10)), top)
+    return Terms(m[one], mp[two], pairs, band)
+
+
+def coupling_block(mask: np.ndarray, grid: N.Grid, ell: int, prime: int, pairs: Sequence[tuple[str, str]], terms: Terms | None = None, block: int = 16) -> dict[tuple[str, str], np.ndarray]:
+    """K^{s1 s2}[L, L'] = Re sum_{mm'} Theta^{s1} conj Theta^{s2} at (ell, prime), Theta_{mm'} = sum_M X_m conj Y_m'.
+
+    A mode pair and its mirror contribute alike, so m < 0 is left out.  Blocks of ``block`` modes of both
+    multipoles are held at once, whatever the multipoles; with ``terms`` modes, mode pairs and M are left out."""
+    orders = np.arange(ell + 1) if terms is None else terms.orders[terms.orders >= 0]
+    primes = np.arange(-prime, prime + 1) if terms is None else terms.orders_prime
+    band = None if terms is None else terms.band
+    channels = sorted({c for p in pairs for c in p})
+    left, right = ("".join(sorted({c[k] for c in channels})) for k in (0, 1))
+    out = {p: np.zeros((grid.lmax + 1, grid.lmax + 1)) for p in pairs}
+    for i in range(0, len(orders), block):
+        m = orders[i : i + block]
+        x = {k: v.transpose(1, 0, 2) for k, v in N.leg_modes(mask, grid, ell, m, left, band).items()}
+        for j in range(0, len(primes), block):
+            mp = primes[j : j + block]
+            weight = np.where(m == 0, 1.0, 2.0)[:, None] * np.ones(len(mp))
+            if terms is not None:
+                weight = weight * terms.pairs[np.ix_(m + ell, mp + prime)]
+                if not weight.any():
+                    continue
+            y = {k: v.conj().transpose(1, 2, 0) for k, v in N.leg_modes(mask, grid, prime, mp, right, band).items()}
+            theta = {c: (np.matmul(x[c[0]], y[c[1]]) * np.sqrt(weight)).reshape(grid.lmax + 1, -1) for c in channels}
+            for p in pairs:
+                a, b = theta[p[0]], theta[p[1]]
+                out[p] += a.real @ b.real.T + a.imag @ b.imag.T
+    return out
+
+
+def coupling_kernels(
+    spark: SparkSession, mask: Callable, lmax: int, lw: int, ell: int, dmax: int, pairs: Sequence[tuple[str, str]], *, alm: np.ndarray | None = None, tolerance: float | None = None, first: int = 0
+) -> DataFrame:
+    """(ch1, ch2, d, i, j, v): kernels of the channel pairs at (ell, ell + d), d from ``first`` below ``dmax``, a task for each d.
+
+    With ``tolerance`` and the mask's coefficients ``alm`` only the terms of ``select_terms`` are computed,
+    for spin 0 and 2 where both occur."""
+    spins = sorted({0 if x == "T" else 2 for p in pairs for c in p for x in c})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = N.Grid(lmax, lmax + -(-lw // 2))
+        grid = N.Grid(lmax, N.minimal_band(lmax, lw))
         phi = 2 * np.pi * np.arange(grid.n_phi) / grid.n_phi
         w = mask(grid.mu[:, None], phi[None, :])
-        central = field_couplings(w, grid, ell)
         for b in batches:
             for d in b.column(0).to_pylist():
-                prime = field_couplings(w, grid, ell + d)
-                theta = {c: np.einsum("alm,blm->abl", central[c[0]], prime[c[1]].conj()) for c in {x for p in pairs for x in p}}
-                for one, two in pairs:
-                    k = np.einsum("abl,abk->lk", theta[one], theta[two].conj()).real
+                terms = None
+                if tolerance is not None:
+                    for s in spins:
+                        own = select_terms(w, grid, alm, ell, ell + d, tolerance, s)
+                        terms = own if terms is None else terms.union(own)
+                for (one, two), k in coupling_block(w, grid, ell, ell + d, pairs, terms).items():
                     i, j = (x.ravel().astype(np.int32) for x in np.indices(k.shape))
                     n = len(i)
                     yield pa.RecordBatch.from_arrays(
@@ -122,7 +235,7 @@ def coupling_kernels(spark: SparkSession, mask: Callable, lmax: int, lw: int, el
                         names=["ch1", "ch2", "d", "i", "j", "v"],
                     )
 
-    asked = spark.range(0, dmax, 1, dmax).select(F.col("id").cast("int").alias("d"))
+    asked = spark.range(first, dmax, 1, max(1, dmax - first)).select(F.col("id").cast("int").alias("d"))
     return asked.mapInArrow(run, "ch1 string, ch2 string, d int, i int, j int, v double")
 
 
@@ -197,5 +310,6 @@ def filtered_sums(spark: SparkSession, mask: Callable, profile: Callable, lmax:
                         names=["channel", "node", "ell", "f", "u"],
                     )
 
-    asked = spark.createDataFrame([(int(x),) for x in sorted(at, reverse=True)], "node int").repartition(len(at), "node")
+    units = [(k, int(x)) for k, x in enumerate(sorted(at, reverse=True))]
+    asked = spark.createDataFrame(units, "unit int, node int").repartitionByRange(len(units), "unit").select("node")
     return asked.mapInArrow(run, "channel string, node int, ell int, f double, u double")
