@@ -186,14 +186,14 @@ def term_scale(xi: DataFrame, sums: DataFrame, l_star: int) -> DataFrame:
 
 
 def normalisation_consistency(sums: DataFrame, xi: DataFrame, l_star: int) -> DataFrame:
-    """(rule, worst): largest relative deviation over d of the kernels' sum rules at the central multipole,
+    """(rule, worst, at): largest relative deviation over d of the kernels' sum rules at the central multipole, and where,
     sum TT x TT = n Xi^00 and sum TT x DD + sum TT x LL = n Xi^20; ``xi(l1, l2, x00, x20)``."""
     n = (2 * l_star + 1) * (2 * (l_star + F.col("d")) + 1)
     star = xi.where(F.col("l1") == l_star).select((F.col("l2") - l_star).alias("d"), "x00", "x20").where("d >= 0")
     rule = F.when(F.col("ch2") == "TT", "00").otherwise("20")
     own = sums.where("ch1 = 'TT' and ch2 in ('TT', 'DD', 'LL')").groupBy("d", rule.alias("rule")).agg(F.sum("s").alias("s"))
     off = F.abs(safe_divide("s", n * F.when(F.col("rule") == "00", F.col("x00")).otherwise(F.col("x20"))) - 1)
-    return own.join(F.broadcast(star), "d").groupBy("rule").agg(F.max(off).alias("worst"))
+    return own.join(F.broadcast(star), "d").groupBy("rule").agg(F.max(off).alias("worst"), F.max_by("d", off).alias("at"))
 
 
 def leakage_ratio(sums: DataFrame) -> DataFrame:
@@ -299,13 +299,13 @@ def direction_moments(mask: DataFrame, value: Sequence[str] = ("x", "y", "z")) -
     return mask.groupBy("g").agg(*first, *second)
 
 
-def ratio_by_distance(sums: DataFrame, dmax: int, reliable: float = 1e-9) -> DataFrame:
+def ratio_by_distance(sums: DataFrame, dmax: int, reliable: float = 1e-9, degree: str = "node") -> DataFrame:
     """g[node, d]: mean of the ratios at l' +- d where both are reliable, else the one that is, else the last d's.
 
-    ``sums(node, ell, f, u)``; a degree is reliable if its unfiltered sum exceeds ``reliable`` of the node's largest."""
+    ``sums(node, ell, f, u)``; ``degree`` is the node's multipole, where ``node`` says more.  A degree is reliable if its unfiltered sum exceeds ``reliable`` of the node's largest."""
     top = F.max("u").over(Window.partitionBy("node"))
     ok = sums.withColumn("top", top).where(F.col("u") > reliable * F.col("top")).select("node", "ell", safe_divide("f", "u").alias("r"))
-    sides = ok.select("node", F.abs(F.col("ell") - F.col("node")).cast("int").alias("d"), "r").where(F.col("d") <= dmax)
+    sides = ok.select("node", F.abs(F.col("ell") - F.col(degree)).cast("int").alias("d"), "r").where(F.col("d") <= dmax)
     found = sides.groupBy("node", "d").agg(F.avg("r").alias("g"))
     grid = sums.select("node").distinct().withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(dmax))))
     held = F.last("g", ignorenulls=True).over(Window.partitionBy("node").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow))

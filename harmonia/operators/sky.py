@@ -239,15 +239,36 @@ def coupling_kernels(
     return asked.mapInArrow(run, "ch1 string, ch2 string, d int, i int, j int, v double")
 
 
-def nodes(lmax: int, first: int = 32, ratio: float = 1.25, cut: float | None = None, step: float | None = None) -> list[int]:
-    """Geometric nodes up to lmax - 1, denser between 0.95 and 2 times a filter's cut."""
+def pole_direction(values: np.ndarray) -> tuple[float, float]:
+    """(theta, phi) of the mask's centroid or, for one that hardly has any, of the axis it lies around most closely."""
+    z, phi0, n = ring_layout(math.isqrt(len(values) // 12))
+    ring = np.repeat(np.arange(len(z)), n)
+    along = np.arange(len(values)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    phi, height = phi0[ring] + 2 * math.pi * along / n[ring], z[ring]
+    flat = np.sqrt(np.clip(1 - height**2, 0, None))
+    at = np.stack([flat * np.cos(phi), flat * np.sin(phi), height])
+    if values.sum() <= 0:
+        raise ValueError("the mask has no weight")
+    centre, spread = at @ values / values.sum(), (at * values) @ at.T / values.sum()
+    axis = centre if np.linalg.norm(centre) >= CENTROID else np.linalg.eigh(spread)[1][:, 0]
+    axis = axis / np.linalg.norm(axis)
+    return float(np.arccos(np.clip(axis[2], -1, 1))), float(np.arctan2(axis[1], axis[0]))
+
+
+#: Fixed value: shorter centroids say nothing of a mask's place.
+CENTROID = 0.2
+
+
+def nodes(lmax: int, first: int = 32, ratio: float = 1.25, cut: float | None = None, step: float | None = None, top_cut: float | None = None) -> list[int]:
+    """Geometric nodes up to lmax - 1, denser between 0.95 and 2 times a high pass' cut and around a sharp low pass' one."""
     out, x = set(), float(first)
     while x < lmax - 1:
         out.add(round(x))
         x = max(x * ratio, x + 1)
     out.add(lmax - 1)
-    if cut:
-        out |= {round(v) for v in np.arange(0.95 * cut, 2 * cut, step or cut / 15) if 2 <= v < lmax - 1}
+    for at, lo, hi in ((cut, 0.95, 2.0), (top_cut, 0.5, 1.05)):
+        if at:
+            out |= {round(v) for v in np.arange(lo * at, hi * at, step or at / 15) if 2 <= v < lmax - 1}
     return sorted(out)
 
 
@@ -277,10 +298,11 @@ def probes(ell: int, lmax: int, count: int, seed: int) -> Iterator[np.ndarray]:
         yield a
 
 
-def filtered_sums(spark: SparkSession, mask: Callable, profile: Callable, lmax: int, lw: int, at: Sequence[int], count: int = 32, seed: int = 0) -> DataFrame:
+def filtered_sums(spark: SparkSession, mask: Callable, profile: Callable, lmax: int, lw: int, at: Sequence[int], count: int = 32, seed: int = 0, channels: Sequence[str] = ("00", "20", "EE")) -> DataFrame:
     """(channel, node, ell, f, u): filtered and unfiltered response sums of the probes, a task for each node.
 
-    ``profile(M, sin theta)`` is any self-adjoint ring filter.  Channels: 00, 20, EE."""
+    ``profile(M, sin theta)`` is any self-adjoint ring filter.  Only ``channels`` of
+    00, 20 and EE are worked out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = N.Grid(lmax, lmax + lw)
@@ -294,15 +316,18 @@ def filtered_sums(spark: SparkSession, mask: Callable, profile: Callable, lmax:
         n = lambda a: (np.abs(a) ** 2).sum(axis=1)
         for b in batches:
             for node in b.column(0).to_pylist():
-                sums = {c: np.zeros((2, lmax + 1)) for c in ("00", "20", "EE")}
+                sums = {c: np.zeros((2, lmax + 1)) for c in channels}
                 for z in probes(node, lmax, count, seed):
                     for k, g in enumerate((filt, same)):
-                        back = grid.analysis(g(w * grid.synthesis(z)))
-                        sums["00"][k] += n(grid.analysis(w * g(grid.synthesis(back))))
-                        if node >= 2:
+                        if "00" in sums:
+                            back = grid.analysis(g(w * grid.synthesis(z)))
+                            sums["00"][k] += n(grid.analysis(w * g(grid.synthesis(back))))
+                        if node >= 2 and {"20", "EE"} & set(sums):
                             e = to_e(g(w * grid.synthesis(-z, 2)))
-                            sums["20"][k] += n(grid.analysis(w * g(grid.synthesis(e))))
-                            sums["EE"][k] += n(to_e(w * g(grid.synthesis(-e, 2))))
+                            if "20" in sums:
+                                sums["20"][k] += n(grid.analysis(w * g(grid.synthesis(e))))
+                            if "EE" in sums:
+                                sums["EE"][k] += n(to_e(w * g(grid.synthesis(-e, 2))))
                 for c, s in sums.items():
                     m = lmax + 1
                     yield pa.RecordBatch.from_arrays(

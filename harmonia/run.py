@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -14,8 +16,8 @@ from .config import Config
 from .functions import columns as C, numerics as N
 from .operators import dense, relational as R, sky
 from .plans import keys as K
-from .sources import spectra as S
-from .sources.store import RunRecord, table_text, versioned, write_atomic
+from .sources import kernels as store, spectra as S
+from .sources.store import RunRecord, cached, digest, put_text, table_text, versioned
 
 
 @dataclass
@@ -26,6 +28,10 @@ class Result:
     keys: DataFrame
     weights: DataFrame
     matrix: DataFrame
+    legs: dict[int, np.ndarray]
+    smooth: DataFrame
+    model: DataFrame
+    spectra: DataFrame
 
     def centres(self) -> np.ndarray:
         rows = self.weights.groupBy("bin").agg(F.sum(F.col("w") * F.col("ell")).alias("c")).orderBy("bin").collect()
@@ -146,19 +152,38 @@ def filter_profile(f: dict[str, Any]):
     return profile
 
 
-def filtered_blocks(spark: SparkSession, cfg: Config, keys: DataFrame, blocks: DataFrame, model_of: DataFrame, mask_alm: np.ndarray) -> DataFrame:
-    """Blocks of filtered maps: times rho of the block's norm channel over the transfer functions of both legs.
+def channels_of(spark: SparkSession, cfg: Config) -> list[str]:
+    """Norm channels that the run's T and E blocks need; blocks with a B leg need none of their own."""
+    letters = {a + b for a, b in cfg.stokes_pairs if "B" not in a + b}
+    found = {r.norm for r in K.norm_table(spark).collect() if r.left_stokes in letters and r.right_stokes in letters}
+    return [c for c in ("00", "20", "EE") if c in found]
 
-    rho comes from probes at a list of nodes (a task for each), by distance, interpolated in between."""
+
+def filter_ratio(spark: SparkSession, cfg: Config, mask_alm: np.ndarray) -> DataFrame:
+    """(norm, node, d, g): filtered over unfiltered response by channel, node and distance, from probes at a list
+    of nodes, a task for each node."""
     f, top, lw = cfg.raw["map_filter"], cfg.lmax - 1, len(mask_alm) - 1
     dmax = min(f.get("dmax") or top, top)
-    at = sky.nodes(cfg.lmax, min(f.get("node_min", 32), max(2, top // 2)), f.get("node_ratio", 1.25), f["lx"], f.get("near_cut_step"))
-    sums = sky.filtered_sums(spark, sky.field_of(mask_alm), filter_profile(f), min(top + dmax, 2 * top), lw, at, f.get("nprobe", 32), f.get("seed", 0))
+    low = f.get("lowpass") or {}
+    at = sky.nodes(
+        cfg.lmax, min(f.get("node_min", 32), max(2, top // 2)), f.get("node_ratio", 1.25), f["lx"], f.get("near_cut_step"),
+        low.get("lx") if low.get("shape", "exp") == "sharp" else None,
+    )
+    sums = sky.filtered_sums(spark, sky.field_of(mask_alm), filter_profile(f), min(top + dmax, 2 * top), lw, at, f.get("nprobe", 32), f.get("seed", 0), channels_of(spark, cfg))
+    return R.ratio_by_distance(sums.select(F.struct("channel", "node").alias("node"), "ell", "f", "u"), dmax, degree="node.node").select(F.col("node.channel").alias("norm"), "node.node", "d", "g")
+
+
+def filtered_blocks(spark: SparkSession, cfg: Config, keys: DataFrame, blocks: DataFrame, model_of: DataFrame, ratio: DataFrame) -> DataFrame:
+    """Blocks of filtered maps: times rho of the block's norm channel over the transfer functions of both legs;
+    rho is ``ratio`` interpolated between nodes."""
+    top = cfg.lmax - 1
+    dmax = min(cfg.raw["map_filter"].get("dmax") or top, top)
     rho = None
-    for ch in ("00", "20", "EE"):
-        g = R.ratio_by_distance(sums.where(F.col("channel") == ch).select("node", "ell", "f", "u"), dmax)
-        one = dense.interpolate_nodes(g, top, dmax).withColumn("norm", F.lit(ch))
+    for ch in channels_of(spark, cfg):
+        one = dense.interpolate_nodes(ratio.where(F.col("norm") == ch).drop("norm"), top, dmax).withColumn("norm", F.lit(ch))
         rho = one if rho is None else rho.unionByName(one)
+    if rho is None:
+        return blocks
     side = lambda i: keys.select(F.col("idx").alias(f"idx{i}"), F.concat("s1", "s2").alias(("left_stokes", "right_stokes")[i - 1]), F.col("canon").alias(f"c{i}"))
     norms = K.norm_table(spark)
     named = blocks.join(F.broadcast(side(1)), "idx1").join(F.broadcast(side(2)), "idx2").join(F.broadcast(norms), ["left_stokes", "right_stokes"], "left")
@@ -238,15 +263,33 @@ def leakage_blocks(spark: SparkSession, cfg: Config, keys: DataFrame, spectra: D
     return out.select("id.idx1", "id.idx2", "l1", "l2", "v")
 
 
-def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray, square_wl: np.ndarray, couplings: DataFrame | None = None, mask_alm: np.ndarray | None = None) -> Result:
+def kernel_pairs(spark: SparkSession, cfg: Config) -> list[tuple[str, str]]:
+    """Channel pairs whose kernels a run by precomputed kernels needs, each in one order."""
+    with_b = any("B" in o for o in cfg.observables)
+    pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(cfg.stokes_pairs)], "p_idx int, s1 string, s2 string")
+    keys = K.spectrum_keys(*K.field_dims(spark, sorted({s for p in cfg.stokes_pairs for s in p}, reverse=True), cfg.frequencies), pairs=pairs)
+    plans = [leakage_products(spark, keys, cfg.parity_mixed, x) if with_b else acc_products(keys, K.norm_table(spark), x) for x in (False, True)]
+    found = {tuple(sorted((r.ch1, r.ch2))) for r in K.required_pairs(plans[0].unionByName(plans[1])).collect()}
+    if not with_b and ("TT", "DD") in {p[::-1] for p in found} | found:
+        found.add(("LL", "TT"))  # for the error budget
+    return sorted(found)
+
+
+def covariance(
+    spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray, square_wl: np.ndarray, couplings: DataFrame | None = None, mask_alm: np.ndarray | None = None,
+    *, keep: Callable[[str, dict, Callable[[], DataFrame]], DataFrame] | None = None, ratio: DataFrame | None = None,
+) -> Result:
     """The covariance of a run from the spectra of its mask and of the mask's square.
 
     The method acc takes kernels from ``operators.sky.coupling_kernels`` as well; spectra are then read
-    as far beyond lmax as the kernels reach.  A map filter needs the mask's coefficients too."""
+    as far beyond lmax as the kernels reach.  A map filter needs the mask's coefficients too, or its ``ratio``.
+    ``keep(name, identity, compute)`` may store tables that depend on the identity alone."""
     cfg = Config.of(params)
-    if cfg.raw.get("map_filter") and mask_alm is None:
+    if cfg.raw.get("map_filter") and mask_alm is None and ratio is None:
         raise ValueError("map_filter needs the mask's coefficients")
-    xi, smooth = kernels(spark, cfg, mask_wl, square_wl)
+    keep = keep or (lambda name, of, compute: compute())
+    of_mask = {"wl": digest(mask_wl), "square": digest(square_wl), "lmax": cfg.lmax}
+    xi, smooth = (keep(name, of_mask | {"kernel": name}, lambda k=k: kernels(spark, cfg, mask_wl, square_wl)[k]) for k, name in enumerate(("xi", "smooth")))
     if cfg.method == "acc":
         if couplings is None:
             raise ValueError("acc needs precomputed kernels")
@@ -257,14 +300,20 @@ def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray,
         padded = replace(cfg, lmax=cfg.lmax + max(0, reach - cfg.central_ell))
         keys, spectra, debias = model(spark, padded)
         debias = debias.where(F.col("ell") < cfg.lmax)
-        blocks = leakage_blocks(spark, cfg, keys, spectra, couplings, square_wl) if with_b else acc_blocks(spark, cfg, keys, spectra, couplings, xi)
+        raw = lambda: leakage_blocks(spark, cfg, keys, spectra, couplings, square_wl) if with_b else acc_blocks(spark, cfg, keys, spectra, couplings, xi)
     else:
         keys, spectra, debias = model(spark, cfg)
-        spectra = STRATEGIES[cfg.method](spectra, smooth)
+        smoothed = STRATEGIES[cfg.method](spectra, smooth)
         products = K.contractions(K.block_positions(keys, cfg.parity_mixed))
-        blocks = R.nka_blocks(products, R.spectra_arrays(spectra, cfg.lmax - 1), xi, K.norm_table(spark))
+        raw = lambda: R.nka_blocks(products, R.spectra_arrays(smoothed, cfg.lmax - 1), xi, K.norm_table(spark))
+    if cfg.raw.get("save_raw_blocks"):
+        inputs = spectra.select(F.sum(F.xxhash64("canon", "ell", "v").cast("decimal(38,0)")).cast("string").alias("d"), F.count("*").alias("n")).first()
+        of = of_mask | {"method": cfg.method, "spectra": inputs.d, "rows": inputs.n, "observables": cfg.observables, "parity_mixed": cfg.parity_mixed, "centre": cfg.central_ell, "dmax": cfg.dmax}
+        blocks = keep("blocks", of, raw)
+    else:
+        blocks = raw()
     if cfg.raw.get("map_filter"):
-        blocks = filtered_blocks(spark, cfg, keys, blocks, debias, mask_alm)
+        blocks = filtered_blocks(spark, cfg, keys, blocks, debias, filter_ratio(spark, cfg, mask_alm) if ratio is None else ratio)
     table = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cfg.edges[:-1], cfg.edges[1:], strict=True))]
     bins = spark.createDataFrame(table, "bin int, lo int, hi int")
     weights = R.bin_weights(S.grid(spark, cfg.lmax), bins, lmin=cfg.lmin, flatten=not cfg.use_dl)
@@ -277,33 +326,37 @@ def covariance(spark: SparkSession, params: dict[str, Any], mask_wl: np.ndarray,
     factors = {k.canon: np.ones(cfg.lmax) for k in listed}
     for r in debias.join(F.broadcast(keys.select("canon")), "canon").select("canon", "ell", "v").toArrow().to_pylist():
         factors[r["canon"]][r["ell"]] = r["v"]
-    binned = fold_legs(blocks, leg_matrices(cfg, listed, factors, w, mask_wl if cfg.polspice else None))
-    matrix = R.full_matrix(binned)
+    legs = leg_matrices(cfg, listed, factors, w, mask_wl if cfg.polspice else None)
+    matrix = R.full_matrix(fold_legs(blocks, legs))
     if cfg.fold:
         from pyspark.sql import Window
 
         letters = F.least(F.concat("s1", "s2"), F.concat("s2", "s1"))
         fold = keys.select("idx", F.min("idx").over(Window.partitionBy("f1", "f2", letters)).alias("new_idx"))
         matrix = R.fold_mirrored(matrix, fold)
-    return Result(cfg, keys, weights, matrix)
+    return Result(cfg, keys, weights, matrix, legs, smooth, debias, spectra)
+
 
+def window_table(result: Result) -> DataFrame:
+    """(spectrum, bin, ell, v): window functions of every spectrum, from lmin on.
 
-def write_windows(result: Result, kernel: DataFrame, model_of: DataFrame, folder: str) -> None:
-    """Window functions of every spectrum as text, one folder for each key, from lmin on.
+    The leg of a spectrum (binning, scaling, debiasing, regularisation) times the coupling kernel of its letters
+    times its data model: what a bandpower takes from each multipole of the true spectrum."""
+    spark, cfg = result.keys.sparkSession, result.config
+    rows = [(idx, b, k, float(x)) for idx, leg in result.legs.items() for b in range(len(leg)) for k, x in enumerate(leg[b]) if x]
+    legs = spark.createDataFrame(rows, "idx int, bin int, l1 int, w double")
+    spectrum = F.concat("s1", "s2", F.lit("_"), "f1", F.lit("x"), "f2").alias("spectrum")
+    named = result.keys.select("idx", "canon", spectrum, F.concat("s1", "s2").alias("stokes"))
+    summed = legs.join(named, "idx").join(result.smooth, ["stokes", "l1"]).groupBy("idx", "canon", "spectrum", "bin", "l2").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    out = summed.join(result.model.select("canon", F.col("ell").alias("l2"), "d"), ["canon", "l2"]).where(F.col("l2") >= cfg.lmin)
+    return out.select("spectrum", "bin", F.col("l2").alias("ell"), (F.col("v") * F.col("d")).alias("v"))
 
-    ``kernel(stokes, l1, l2, v)`` maps true to estimated spectra, ``model_of(canon, ell, v, d)`` has the debiasing
-    and the data model of each spectrum."""
-    cfg = result.config
-    w = result.weights.select("bin", F.col("ell").alias("l1"), "w")
-    scale = C.ell_factor("l1") if cfg.use_dl else F.lit(1.0)
-    one = model_of.select("canon", F.col("ell").alias("l1"), F.col("v").alias("s"))
-    two = model_of.select("canon", F.col("ell").alias("l2"), "d")
-    keys = result.keys.select("canon", F.concat("s1", "s2").alias("stokes"))
-    rows = F.broadcast(keys).join(kernel, "stokes").join(F.broadcast(w), "l1").join(one, ["canon", "l1"])
-    summed = rows.groupBy("canon", "bin", "l2").agg(F.sum(F.col("w") * scale * F.col("s") * F.col("v")).alias("v")).join(two, ["canon", "l2"])
-    line = F.concat_ws(" ", "l2", "bin", F.format_string("%.18e", F.col("v") * F.col("d")))
-    out = summed.where(F.col("l2") >= cfg.lmin).select(F.regexp_replace("canon", ",", "_").alias("spectrum"), "l2", "bin", line.alias("value"))
-    out.repartition("spectrum").sortWithinPartitions("spectrum", "l2", "bin").select("spectrum", "value").write.partitionBy("spectrum").mode("overwrite").text(folder)
+
+def write_windows(result: Result, folder: str) -> None:
+    """``window_table`` as text, a folder for each spectrum, rows ell, bin and value."""
+    line = F.concat_ws(" ", "ell", "bin", F.format_string("%.18e", "v"))
+    out = window_table(result).select("spectrum", "ell", "bin", line.alias("value"))
+    out.repartition("spectrum").sortWithinPartitions("spectrum", "ell", "bin").select("spectrum", "value").write.partitionBy("spectrum").mode("overwrite").text(folder)
 
 
 def conditioning_text(matrix: np.ndarray) -> str:
@@ -316,35 +369,171 @@ def conditioning_text(matrix: np.ndarray) -> str:
     return "\n".join([*lines, f"condition number {value[-1] / value[0] if value[0] else math.inf:.6e}"]) + "\n"
 
 
+def error_budget_table(result: Result, couplings: DataFrame) -> DataFrame:
+    """(idx1, idx2, n_e, bias, ratio): each block's known bias from E to B leakage in kernels that leave it out."""
+    ratio = R.leakage_ratio(couplings.groupBy("ch1", "ch2", "d").agg(F.sum("v").alias("s"))).where("d = 0").select("ratio")
+    b = K.block_positions(result.keys, result.config.parity_mixed).select("idx1", "idx2", F.concat("a_s1", "a_s2").alias("stokes1"), F.concat("b_s1", "b_s2").alias("stokes2"))
+    return R.error_budget(b.crossJoin(F.broadcast(ratio)), "ratio")
+
+
+def error_budget_text(result: Result, couplings: DataFrame, square_wl: np.ndarray) -> str:
+    """What is known of the errors of a run by precomputed kernels: leakage by block, distance from the centre, sum rules."""
+    cfg, spark = result.config, result.keys.sparkSession
+    lines = ["Error budget (reported; nothing is corrected)", f"centralell {cfg.central_ell}, dmax {cfg.dmax}, lmin {cfg.lmin}, lmax {cfg.lmax}", ""]
+    if any("B" in o for o in cfg.observables):
+        lines += ["leakage from E to B is part of this run's kernels"]
+    elif all(o == "TT" for o in cfg.observables):
+        lines += ["no polarised block"]
+    else:
+        for r in error_budget_table(result, couplings).orderBy("idx1", "idx2").collect():
+            lines.append(f"block {r.idx1} x {r.idx2} ({r.stokes1} x {r.stokes2}): {r.n_e} polarised legs, relative bias {r.bias if r.bias is not None else math.nan:+.3e}")
+    far = max(abs(e - cfg.central_ell) for e in (cfg.edges[0], cfg.edges[-1]))
+    lines += ["", f"translation of kernels from the central multipole: not bounded, farthest bin edge {far} away"]
+    top = cfg.central_ell + cfg.dmax
+    x = N.xi_kernels(square_wl, top, np.array([cfg.central_ell]))
+    xi = spark.createDataFrame([(cfg.central_ell, k, float(x["TT"][0, k]), float(x["TE"][0, k])) for k in range(cfg.central_ell, top + 1)], "l1 int, l2 int, x00 double, x20 double")
+    both = couplings.unionByName(couplings.where("ch1 <> ch2").select(F.col("ch2").alias("ch1"), F.col("ch1").alias("ch2"), "d", "i", "j", "v"))
+    for r in R.normalisation_consistency(both.groupBy("ch1", "ch2", "d").agg(F.sum("v").alias("s")), xi, cfg.central_ell).orderBy("rule").collect():
+        lines.append(f"sum rule {r.rule}: off by at most {r.worst:.3e}, at distance {r.at}")
+    return "\n".join(lines) + "\n"
+
+
+def leakage_text(result: Result, mask_wl: np.ndarray) -> str | None:
+    """For a run of BB alone without leakage kernels: up to where the leakage of EE into BB matters."""
+    cfg, spark = result.config, result.keys.sparkSession
+    if cfg.method == "acc" or cfg.observables != ("BB",):
+        return None
+    m = N.master_kernels(mask_wl, cfg.lmax - 1)
+    frame = lambda a: spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in np.ndindex(*a.shape)], "l1 int, l2 int, v double")
+    one = result.keys.orderBy("idx").first()
+    spectrum = lambda s: result.spectra.where((F.col("canon") == one.canon.replace("BB", s))).select("ell", "v")
+    infl, safe = R.leakage_limit(frame((m["EEpBB"] + m["EEmBB"]) / 2), frame((m["EEpBB"] - m["EEmBB"]) / 2), spectrum("EE"), spectrum("BB"), lmin=cfg.lmin)
+    ell_safe = safe.first()[0]
+    lowest = infl.where(F.col("ell").between(cfg.edges[0], cfg.edges[1] - 1)).agg(F.max("inflation")).first()[0]
+    return f"leakage of EE into BB is neglected\nell_safe {ell_safe}\nlmax {cfg.lmax}\nreliable {ell_safe < cfg.lmax}\nlowest bin's factor {lowest if lowest is not None else math.nan:.6g}\n"
+
+
+@dataclass
+class Mask:
+    """A whole-sky map, cleaned and in ring order, with its coefficients and those of its square."""
+
+    values: np.ndarray
+    nside: int
+    band: int
+    alm: np.ndarray
+    square: np.ndarray
+
+    @classmethod
+    def of(cls, values: np.ndarray, band: int | None = None) -> Mask:
+        values, bad = sky.clean(values)
+        if bad:
+            warnings.warn(f"{bad} bad pixels of the mask count as 0", stacklevel=2)
+        if not values.any():
+            raise ValueError("the mask is empty")
+        if (values < 0).any() or (values > 1 + 1e-6).any():
+            warnings.warn(f"mask values from {values.min():.3g} to {values.max():.3g}: not within 0 and 1", stacklevel=2)
+        nside = math.isqrt(len(values) // 12)
+        band = band or 2 * nside
+        return cls(values, nside, band, sky.map_alm(values, band), sky.map_alm(values**2, band))
+
+    def identity(self) -> dict[str, Any]:
+        return {"mask": digest(self.values), "nside": self.nside, "lw": self.band}
+
+
 def read_mask(spark: SparkSession, params: dict[str, Any]) -> np.ndarray:
-    """A whole-sky map from a FITS file or a Parquet table (pix, w); bounded by one map's size."""
+    """A whole-sky map in ring order from a FITS file or a Parquet table (pix, w); bounded by one map's size."""
     path = params["mask_name"] if params["mask_name"].startswith("/") else f"{params['mask_path'].rstrip('/')}/{params['mask_name']}"
     if path.endswith(".parquet"):
         rows = spark.read.parquet(path).orderBy("pix").select("w").toArrow()
         return rows.column("w").to_numpy()
     body = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    return next(iter(S.parse_fits_table(bytes(body)).values()))
+    header, columns = S.parse_fits(bytes(body))
+    values = next(iter(columns.values()))
+    order = header.get("ORDERING", "RING").upper()
+    if order not in ("RING", "NESTED"):
+        raise ValueError(f"unknown pixel order {order!r}")
+    return sky.ring_order(values) if order == "NESTED" else values
+
+
+def kernel_folder(params: dict[str, Any]) -> str:
+    """Where a run's precomputed kernels lie: acc_precompute.save_dir, or beside the results."""
+    return ((params.get("acc_precompute") or {}).get("save_dir") or f"{params['cov_path']}/kernels").rstrip("/")
+
+
+def kernel_identity(params: dict[str, Any], mask: Mask) -> dict[str, Any]:
+    """What the kernels depend on beside the channel pair and the distance."""
+    return mask.identity() | {"centralell": params["centralell"], "tolerance": (params.get("acc_precompute") or {}).get("tolerance"), "band": kernel_band(params, mask)}
+
 
+def kernel_band(params: dict[str, Any], mask: Mask) -> int:
+    """Multipoles that kernels reach: the mask's coupling around the centre in full, or acc_precompute.lmax."""
+    return (params.get("acc_precompute") or {}).get("lmax") or params["centralell"] + params["dmax"] - 1 + mask.band
 
-def run(spark: SparkSession, params: dict[str, Any]) -> str:
-    """Everything into a versioned folder; returns it.  The record is written even on failure."""
+
+def precompute(spark: SparkSession, params: dict[str, Any], mask: Mask | None = None) -> str:
+    """All kernels that a run by precomputed kernels needs, into its folder; those that lie there already stay.  Returns the folder.
+
+    With acc_precompute.tolerance only the terms that carry the kernels are computed, on the mask turned to the pole."""
+    cfg = Config.of(params)
+    if cfg.method != "acc":
+        raise ValueError("only the method acc uses precomputed kernels")
+    mask = mask or Mask.of(read_mask(spark, params))
+    folder, identity = kernel_folder(params), kernel_identity(params, mask)
+    tolerance = identity["tolerance"]
+    alm = mask.alm if tolerance is None else N.to_pole(mask.alm, *sky.pole_direction(mask.values))
+    wanted = {(*p, d) for p in kernel_pairs(spark, cfg) for d in range(cfg.dmax)}
+    said = store.manifest(spark, folder)
+    if said is not None:
+        if wrong := store.differences(said["identity"], identity):
+            raise store.IdentityError("; ".join(wrong))
+        wanted -= {tuple(x) for x in said["kernels"]}
+    if wanted:
+        pairs, first = sorted({x[:2] for x in wanted}), min(x[2] for x in wanted)
+        made = sky.coupling_kernels(spark, sky.field_of(alm), identity["band"], mask.band, cfg.central_ell, cfg.dmax, pairs, alm=alm, tolerance=tolerance, first=first)
+        store.write_kernels(spark, folder, made, identity)
+    return folder
+
+
+def run(spark: SparkSession, params: dict[str, Any], *, overwrite: int | None = None, windows: bool = False, dry: bool = False) -> str:
+    """Everything into a versioned folder; returns it.  The record is written even on failure.
+
+    Kernels, the filter's ratio and, with save_raw_blocks, raw blocks are kept in a cache beside the versions and
+    found again by what they depend on.  Precomputed kernels are computed where they are missing."""
     record = RunRecord(params)
-    folder = versioned(params["cov_path"], params["cov_name"])
+    folder = versioned(spark, params["cov_path"], params["cov_name"], overwrite)
     try:
-        values = read_mask(spark, params)
-        nside = math.isqrt(len(values) // 12)
-        lw = 2 * nside
-        alm, alm2 = (sky.map_alm(x, lw) for x in (values, values**2))
-        result = covariance(spark, params, sky.power(alm), sky.power(alm2), mask_alm=alm)
+        mask = Mask.of(read_mask(spark, params))
+        record.add("derived", nside=mask.nside, mask_band_limit=mask.band, mask_digest=digest(mask.values))
+        wl, square = sky.power(mask.alm), sky.power(mask.square)
+        keep = lambda name, of, compute: cached(spark, f"{params['cov_path']}/cache", name, of, compute)
+        cfg = Config.of(params)
+        if dry:
+            record.add("provenance", status="dry run")
+            return folder
+        couplings = ratio = None
+        if cfg.method == "acc":
+            precompute(spark, params, mask)
+            couplings = store.read_kernels(spark, kernel_folder(params), kernel_identity(params, mask), kernel_pairs(spark, cfg), cfg.dmax)
+        if cfg.raw.get("map_filter"):
+            ratio = keep("ratio", mask.identity() | {"filter": cfg.raw["map_filter"], "lmax": cfg.lmax, "channels": channels_of(spark, cfg)}, lambda: filter_ratio(spark, cfg, mask.alm))
+        result = covariance(spark, params, wl, square, couplings, mask.alm, keep=keep, ratio=ratio)
         matrix = result.dense()
-        record.add("derived", nside=nside, mask_band_limit=lw, observables=list(result.config.observables), bins=len(result.centres()), spectra=[r.canon for r in result.keys.orderBy("idx").collect()])
-        write_atomic(f"{folder}/{params['cov_name']}", table_text(matrix))
-        write_atomic(f"{folder}/lbins.dat", table_text(result.centres()))
-        write_atomic(f"{folder}/conditioning.txt", conditioning_text(matrix))
+        record.add("derived", observables=list(cfg.observables), bins=len(result.centres()), spectra=[r.canon for r in result.keys.orderBy("idx").collect()])
+        put_text(spark, f"{folder}/{params['cov_name']}", table_text(matrix))
+        put_text(spark, f"{folder}/lbins.dat", table_text(result.centres()))
+        put_text(spark, f"{folder}/conditioning.txt", conditioning_text(matrix))
+        if couplings is not None:
+            put_text(spark, f"{folder}/error_budget.txt", error_budget_text(result, couplings, square))
+        if (told := leakage_text(result, wl)) is not None:
+            put_text(spark, f"{folder}/bb_leakage_warning.txt", told)
+        if ratio is not None:
+            ratio.write.mode("overwrite").parquet(f"{folder}/map_filter_ratio.parquet")
+        if windows or params.get("save_windows"):
+            write_windows(result, f"{folder}/window_functions")
         record.add("provenance", status="done")
     except BaseException as e:
         record.add("provenance", status=f"failed: {e}")
         raise
     finally:
-        record.write(f"{folder}/params_resolved.yml")
+        record.write(spark, f"{folder}/params_resolved.yml")
     return folder

@@ -28,6 +28,11 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_fits_table(data: bytes) -> dict[str, np.ndarray]:
     """Columns of the first binary table of a FITS file; vector columns are flattened."""
+    return parse_fits(data)[1]
+
+
+def parse_fits(data: bytes) -> tuple[dict[str, str], dict[str, np.ndarray]]:
+    """Header and columns of the first binary table of a FITS file."""
     at = 0
     while at < len(data):
         cards, k = {}, at
@@ -50,7 +55,7 @@ def parse_fits_table(data: bytes) -> dict[str, np.ndarray]:
                 names.append(cards.get(f"TTYPE{i + 1}", f"c{i}"))
                 fields.append((f"f{i}", kinds[form[-1]], (n,)))
             table = np.frombuffer(data[k : k + size], np.dtype(fields), count=axes[1])
-            return {n: table[f"f{i}"].astype(float).ravel() for i, n in enumerate(names)}
+            return cards, {n: table[f"f{i}"].astype(float).ravel() for i, n in enumerate(names)}
         at = k + -(-size // 2880) * 2880
     raise ValueError("no binary table in the FITS file")
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import tempfile
 from collections.abc import Callable
 from typing import Any
 
@@ -31,33 +29,55 @@ def cached(spark: SparkSession, folder: str, name: str, of: dict[str, Any], comp
     return spark.read.parquet(path)
 
 
-def digest(values: np.ndarray) -> str:
-    return hashlib.blake2b(np.ascontiguousarray(values, float).tobytes(), digest_size=16).hexdigest()
+def _file(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any file system that Spark reads; None if there is none."""
+    where, fs = _file(spark, path)
+    if not fs.exists(where):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
-def write_atomic(path: str, text: str) -> None:
-    folder = os.path.dirname(path) or "."
-    os.makedirs(folder, exist_ok=True)
-    handle, draft = tempfile.mkstemp(dir=folder)
-    with os.fdopen(handle, "w") as f:
-        f.write(text)
-    os.replace(draft, path)
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file next to its place and move it there."""
+    where, fs = _file(spark, path)
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(where, False)
+    if not fs.rename(draft, where):
+        raise OSError(f"can't write {path}")
+
+
+def digest(values: np.ndarray) -> str:
+    return hashlib.blake2b(np.ascontiguousarray(values, float).tobytes(), digest_size=16).hexdigest()
 
 
 def table_text(rows: np.ndarray) -> str:
     return "\n".join(" ".join(f"{x:.18e}" for x in np.atleast_1d(r)) for r in rows) + "\n"
 
 
-def versioned(base: str, name: str, write: bool = True) -> str:
-    """v0, v1, ...: the last one while ``name`` isn't there yet, else the next."""
-    k = 0
-    while os.path.isdir(f"{base}/v{k + 1}"):
-        k += 1
-    path = f"{base}/v{k}"
-    if os.path.isdir(path) and os.path.exists(f"{path}/{name}"):
-        path = f"{base}/v{k + 1}"
-    if write:
-        os.makedirs(path, exist_ok=True)
+def versioned(spark: SparkSession, base: str, name: str, overwrite: int | None = None) -> str:
+    """v0, v1, ...: the highest one there is while ``name`` isn't in it, else the next; or the one asked for.
+
+    Gaps between numbers don't matter."""
+    where, fs = _file(spark, base)
+    if overwrite is not None:
+        path = f"{base}/v{overwrite}"
+    else:
+        there = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        last = max((int(x[1:]) for x in there if x[:1] == "v" and x[1:].isdigit()), default=None)
+        path = f"{base}/v{last or 0}"
+        if last is not None and fs.exists(_file(spark, f"{path}/{name}")[0]):
+            path = f"{base}/v{last + 1}"
+    fs.mkdirs(_file(spark, path)[0])
     return path
 
 
@@ -70,7 +90,7 @@ class RunRecord:
     def add(self, part: str, **values) -> None:
         self.parts[part].update(values)
 
-    def write(self, path: str) -> None:
+    def write(self, spark: SparkSession, path: str) -> None:
         import yaml
 
-        write_atomic(path, yaml.safe_dump(json.loads(json.dumps(self.parts, default=str)), sort_keys=False))
+        put_text(spark, path, yaml.safe_dump(json.loads(json.dumps(self.parts, default=str)), sort_keys=False))

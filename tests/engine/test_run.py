@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from harmonia import cli
 from harmonia.config import Config, Report, bin_edges, may_rebin, observables_of
 from harmonia.operators import sky
-from harmonia.run import covariance, run
+from harmonia.run import covariance, read_mask, run
 from harmonia.sources import spectra as S, store
 
 LMAX = 24
@@ -210,7 +210,7 @@ def test_spectrum_files(spark, tmp_path):
     assert n["090", "EE"] == pytest.approx(2 * n["090", "TT"]) and n["150", "EE"] == pytest.approx(n["150", "TT"] * 6.25)
 
 
-def fits_table(columns):
+def fits_table(columns, *more):
     def block(cards):
         text = "".join(f"{c:<80}" for c in cards)
         return text.ljust(-(-len(text) // 2880) * 2880).encode()
@@ -218,7 +218,7 @@ def fits_table(columns):
     n = len(next(iter(columns.values())))
     body = np.stack(list(columns.values()), axis=1).astype(">f8").tobytes()
     cards = ["XTENSION= 'BINTABLE'", "BITPIX  = 8", "NAXIS   = 2", f"NAXIS1  = {8 * len(columns)}", f"NAXIS2  = {n}", f"TFIELDS = {len(columns)}"]
-    cards += [c for i, k in enumerate(columns) for c in (f"TTYPE{i + 1}  = '{k}'", f"TFORM{i + 1}  = '1D'")] + ["END"]
+    cards += [c for i, k in enumerate(columns) for c in (f"TTYPE{i + 1}  = '{k}'", f"TFORM{i + 1}  = '1D'")] + [*more, "END"]
     return block(["SIMPLE  = T", "BITPIX  = 8", "NAXIS   = 0", "END"]) + block(cards) + body.ljust(-(-len(body) // 2880) * 2880, b"\0")
 
 
@@ -232,4 +232,103 @@ def test_fits_and_cache(spark, tmp_path):
     for of in ({"a": 1}, {"a": 1}, {"a": 2}):
         assert store.cached(spark, str(tmp_path / "cache"), "k", of, make).count() == 3
     assert len(calls) == 2
-    assert store.versioned(str(tmp_path / "v"), "x").endswith("v0")
+    assert store.versioned(spark, str(tmp_path / "v"), "x").endswith("v0")
+    for k in (0, 2):
+        (tmp_path / "v" / f"v{k}").mkdir(exist_ok=True)
+    assert store.versioned(spark, str(tmp_path / "v"), "x").endswith("v2")
+    (tmp_path / "v" / "v2" / "x").touch()
+    assert store.versioned(spark, str(tmp_path / "v"), "x").endswith("v3") and store.versioned(spark, str(tmp_path / "v"), "x", 1).endswith("v1")
+
+
+def write_mask(spark, path, nside=8, bad=0):
+    z, _, n = sky.ring_layout(nside)
+    mask = np.repeat(np.clip(0.5 * (1 + np.cos(np.pi * np.arccos(z) / 2.2)), 0, 1) * (np.arccos(z) < 2.2), n)
+    mask[-bad:] = [math.nan, sky.UNSEEN][:bad] if bad else mask[-bad:]
+    spark.createDataFrame([(k, float(v)) for k, v in enumerate(mask)], "pix long, w double").write.mode("overwrite").parquet(path)
+    return mask
+
+
+def test_precomputed_run_from_a_parameter_file(spark, tmp_path):
+    from harmonia.sources import kernels
+
+    write_mask(spark, str(tmp_path / "mask.parquet"), 4, 2)
+    p = params(tmp_path, covariance_approximation="acc", dmax=2, centralell=6, frequencies=["090GHz"], bins=[[4, 8, 2]], lmax=8, nl={"090GHz": 20.0}, beams={"090GHz": 60.0})
+    p |= {"acc_precompute": {"lmax": 10}, "save_raw_blocks": True, "save_windows": True}
+    path = tmp_path / "p.yml"
+    path.write_text(yaml.safe_dump(p))
+    with pytest.warns(UserWarning, match="2 bad pixels"):
+        assert cli.precompute([str(path)]) == 0
+    held = kernels.manifest(spark, f"{p['cov_path']}/kernels")
+    with pytest.warns(UserWarning):
+        folder = run(spark, p)
+        again = run(spark, p)
+    assert held == kernels.manifest(spark, f"{p['cov_path']}/kernels") and folder != again
+    assert (np.loadtxt(f"{folder}/cov.dat") == np.loadtxt(f"{again}/cov.dat")).all()
+    budget = open(f"{folder}/error_budget.txt").read()
+    assert "relative bias" in budget and "sum rule 00" in budget
+    assert any(x.startswith("blocks.k") for x in os.listdir(f"{p['cov_path']}/cache"))
+    assert len([x for x in os.listdir(f"{folder}/window_functions") if x.startswith("spectrum=")]) == 3
+    with pytest.raises(kernels.IdentityError, match="centralell"):
+        kernels.read_kernels(spark, f"{p['cov_path']}/kernels", held["identity"] | {"centralell": 7})
+    with pytest.raises(ValueError, match="missing"):
+        kernels.read_kernels(spark, f"{p['cov_path']}/kernels", held["identity"], [("LL", "LD")], 1)
+    with pytest.warns(UserWarning, match="trust"):
+        kernels.read_kernels(spark, f"{p['cov_path']}/kernels", held["identity"] | {"more": 1})
+    with pytest.raises(kernels.IdentityError), pytest.warns(UserWarning):
+        run(spark, p | {"centralell": 7})
+
+
+def test_older_kernel_files(spark, tmp_path):
+    from harmonia.sources import kernels
+
+    rng = np.random.default_rng(3)
+    old = tmp_path / "covariance_coupling"
+    old.mkdir()
+    a, b = rng.normal(size=(3, 3)), rng.normal(size=(3, 3))
+    np.savetxt(old / "TTxTT_5x6.txt", a)
+    np.save(old / "TTxTT_5x6.npy", a)
+    np.save(old / "TTxEE_5x5.npy", b)
+    folder = str(tmp_path / "kernels")
+    assert cli.convert([str(old), folder, "--identity", '{"centralell": 5}']) == 0
+    got = kernels.read_kernels(spark, folder, {"centralell": 5}, [("DD", "TT")], 1).collect()
+    assert {(r.ch1, r.ch2, r.d, r.i, r.j): r.v for r in got} == {("TT", "DD", 0, i, j): b[i, j] for i in range(3) for j in range(3)}
+    np.savetxt(old / "TTxEE_5x5.txt", b + 1)
+    with pytest.raises(ValueError, match="differ"):
+        kernels.convert(spark, str(old), str(tmp_path / "more"), {})
+
+
+def test_masks_are_cleaned_and_brought_to_ring_order(spark, tmp_path):
+    values = np.arange(48.0)
+    assert sky.ring_order((np.arange(48) == 0) * 1.0).argmax() == 13 and sorted(sky.ring_order(values)) == sorted(values)
+    path = tmp_path / "m.fits"
+    for order, want in (("NESTED", sky.ring_order(values)), ("RING", values)):
+        path.write_bytes(fits_table({"W": values}, f"ORDERING= '{order}'"))
+        assert (read_mask(spark, {"mask_name": str(path), "mask_path": ""}) == want).all()
+    path.write_bytes(fits_table({"W": values}, "ORDERING= 'SPIRAL'"))
+    with pytest.raises(ValueError, match="SPIRAL"):
+        read_mask(spark, {"mask_name": str(path), "mask_path": ""})
+    clean, bad = sky.clean(np.array([1.0, math.nan, sky.UNSEEN, -1e30]))
+    assert bad == 2 and (clean == [1, 0, 0, -1e30]).all()
+    assert sky.nside_for(10) == 128 and sky.nside_for(500) == 512
+
+
+def test_selected_terms_carry_the_kernel(spark):
+    from harmonia.functions import numerics as N
+
+    z, _, n = sky.ring_layout(16)
+    values = np.repeat(np.exp(-((np.arccos(z) / 0.7) ** 2)), n)
+    alm = sky.map_alm(values, 16)
+    away = N.to_pole(alm, 1.0, 0.4)
+    back = N.to_pole(alm, *sky.pole_direction(values))
+    grid = N.Grid(24, N.minimal_band(24, 32))
+    phi = 2 * np.pi * np.arange(grid.n_phi) / grid.n_phi
+    w = sky.field_of(alm)(grid.mu[:, None], phi[None, :])
+    assert np.allclose(sky.power(away), sky.power(alm)) and np.allclose(back, alm, atol=1e-6)
+    full = sky.coupling_block(w, grid, 12, 13, [("TT", "TT"), ("DD", "DD")])
+    terms = sky.select_terms(w, grid, alm, 12, 13, 1e-3)
+    assert len(terms.orders) < 25 and terms.pairs.mean() < 0.9 and len(terms.union(terms).orders) == len(terms.orders)
+    some = sky.coupling_block(w, grid, 12, 13, [("TT", "TT")], terms)["TT", "TT"]
+    assert np.linalg.norm(some - full["TT", "TT"]) < 5e-3 * np.linalg.norm(full["TT", "TT"])
+    turned = sky.field_of(N.to_pole(alm, 0.9, 0.2))(grid.mu[:, None], phi[None, :])
+    there = sky.coupling_block(turned, grid, 12, 13, [("DD", "DD")])["DD", "DD"]
+    assert np.allclose(there, full["DD", "DD"], atol=1e-6 * np.abs(there).max())
