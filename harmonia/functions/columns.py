@@ -122,3 +122,8 @@ def canonical_key(s1, s2, f1, f2) -> Column:
     forth = F.concat(c(s1), c(s2), F.lit(","), c(f1), F.lit("x"), c(f2))
     back = F.concat(c(s2), c(s1), F.lit(","), c(f2), F.lit("x"), c(f1))
     return F.when(keep, forth).otherwise(back)
+
+
+def nside_for(ell, spare: int = 100) -> Column:
+    """A resolution that carries multipoles up to ``ell`` and ``spare`` more: a power of two, 128 at least."""
+    return F.greatest(F.lit(128), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(c(ell) + spare, F.lit(2))))).cast("int"))

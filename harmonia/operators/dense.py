@@ -78,6 +78,22 @@ def polspice(wl: DataFrame | None, lmax: int, theta_max: float, kind: int = 1, s
     return spark.range(1).select(F.col("id").cast("int").alias("start")).coalesce(1).mapInArrow(run, "channel string, l1 int, l2 int, v double")
 
 
+def mode_power(wl: DataFrame, ell: int) -> DataFrame:
+    """(m, p): what each order of degree ``ell`` sees of a mask that is symmetric about the pole, from ``wl(l, wl)`` as
+    coefficients of its profile, sum (2 l + 1) / 4 pi wl P_l."""
+    w = vector(wl, "l", "wl")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for degree in b.column(0).to_pylist():
+                grid = N.Grid(len(w) - 1, len(w) - 1 + degree)
+                window = np.repeat(N.mask_correlation(w, grid.mu)[:, None], grid.n_phi, axis=1)
+                m = np.arange(-degree, degree + 1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(N.mode_power(window, grid, degree))], names=["m", "p"])
+
+    return wl.sparkSession.range(ell, ell + 1, 1, 1).select(F.col("id").cast("int")).mapInArrow(run, "m int, p double")
+
+
 def _spread(spark: SparkSession, units: list[tuple], schema: str) -> DataFrame:
     """One task for each unit, in the given order (dearest first)."""
     rows = spark.createDataFrame([(k, *u) for k, u in enumerate(units)], f"unit int, {schema}")

@@ -100,15 +100,24 @@ def spectra_arrays(spectra: DataFrame, lmax: int) -> DataFrame:
 def nka_blocks(products: DataFrame, arrays: DataFrame, xi: DataFrame, norms: DataFrame) -> DataFrame:
     """Narrow-kernel blocks (idx1, idx2, l1, l2, v).
 
-    ``xi(norm, l1, l2, v)`` streams through; products with their spectra are one broadcast (a row for
-    each Wick product), and both contractions of a block are summed by one aggregation."""
+    A block's two contractions, with their spectra, are one row of a broadcast plan (as many rows as blocks),
+    and ``xi(norm, l1, l2, v)`` has its norms side by side: every element of a block is one projection of one
+    joined row, so nothing as large as the blocks is shuffled or aggregated."""
     left = arrays.select(F.col("canon").alias("left"), F.col("c").alias("cl"))
     right = arrays.select(F.col("canon").alias("right"), F.col("c").alias("cr"))
     plan = products.withColumn("ls", F.translate("left_stokes", "B", "E")).withColumn("rs", F.translate("right_stokes", "B", "E"))
     plan = plan.join(F.broadcast(norms.toDF("ls", "rs", "norm")), ["ls", "rs"]).join(left, "left").join(right, "right")
-    at = lambda a, l: F.get(F.col(a), F.col(l))
-    value = nka_average(at("cl", "l1"), at("cl", "l2"), "left_stokes") * nka_average(at("cr", "l1"), at("cr", "l2"), "right_stokes") * F.col("v")
-    return xi.join(F.broadcast(plan), "norm").groupBy("idx1", "idx2", "l1", "l2").agg(F.sum(value).alias("v"))
+    plan = plan.groupBy("idx1", "idx2").agg(F.collect_list(F.struct("norm", "left_stokes", "right_stokes", "cl", "cr")).alias("t"))
+    plan = plan.select("idx1", "idx2", F.get("t", F.lit(0)).alias("one"), F.get("t", F.lit(1)).alias("two"))
+    wide = xi.groupBy("l1", "l2").agg(F.map_from_entries(F.collect_list(F.struct("norm", "v"))).alias("x"))
+
+    def value(t: str) -> Column:
+        at = lambda a, l: F.get(F.col(f"{t}.{a}"), F.col(l))
+        pair = nka_average(at("cl", "l1"), at("cl", "l2"), f"{t}.left_stokes") * nka_average(at("cr", "l1"), at("cr", "l2"), f"{t}.right_stokes")
+        return pair * F.try_element_at("x", F.col(f"{t}.norm"))
+
+    v = F.when(value("one").isNull(), value("two")).when(value("two").isNull(), value("one")).otherwise(value("one") + value("two"))
+    return wide.crossJoin(F.broadcast(plan)).select("idx1", "idx2", "l1", "l2", v.alias("v")).where("v is not null")
 
 
 def inka_spectra(spectra: DataFrame, master: DataFrame) -> DataFrame:
@@ -368,6 +377,44 @@ def keep_modes(p: DataFrame, eps: float) -> DataFrame:
     return p.withColumn("top", F.max("p").over(Window.partitionBy())).where(F.col("p") >= eps * F.col("top")).drop("top")
 
 
+def truncated(alm: DataFrame, lmax: int) -> DataFrame:
+    """Coefficients up to a smaller band limit."""
+    return alm.where(F.col("l") <= lmax)
+
+
+def full_orders(alm: DataFrame) -> DataFrame:
+    """Coefficients of a real field for both signs of m: a_l-m = (-1)^m conj a_lm."""
+    sign = F.when(F.col("m") % 2 == 0, 1.0).otherwise(-1.0)
+    below = alm.where("m > 0").withColumn("re", sign * F.col("re")).withColumn("im", -sign * F.col("im")).withColumn("m", -F.col("m"))
+    return alm.unionByName(below)
+
+
+def half_orders(alm: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, l, m >= 0, re, im, re2, im2): a complex field's coefficients as those of its real and imaginary parts."""
+    sign = F.when(F.col("m") % 2 == 0, 1.0).otherwise(-1.0)
+    mirror = alm.select(*by, "l", (-F.col("m")).alias("m"), (sign * F.col("re")).alias("xr"), (-sign * F.col("im")).alias("xi"))
+    both = alm.where("m >= 0").join(mirror, [*by, "l", "m"])
+    half = lambda e: (e / 2)
+    return both.select(
+        *by, "l", "m", half(F.col("re") + F.col("xr")).alias("re"), half(F.col("im") + F.col("xi")).alias("im"),
+        half(F.col("im") - F.col("xi")).alias("re2"), half(F.col("xr") - F.col("re")).alias("im2"),
+    )
+
+
+def union_of_selections(selections: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Terms that any of several selections (by, keep) keeps."""
+    return selections.groupBy(*by).agg(F.bool_or("keep").alias("keep"))
+
+
+def kept_pairs(power: DataFrame, power_prime: DataFrame, likeness: DataFrame, eps: float, eps_pair: float) -> DataFrame:
+    """(m, mp): pairs of orders whose powers (m, p) and whose likeness (d, a) at their distance reach ``eps_pair`` of the largest."""
+    one, two = power.toDF("m", "p"), power_prime.toDF("mp", "q")
+    kept = lambda df, c: df.withColumn("ok", F.col(c) >= eps * F.max(c).over(Window.partitionBy()))
+    both = kept(one, "p").crossJoin(F.broadcast(kept(two, "q").withColumnRenamed("ok", "ok2"))).withColumn("d", F.col("m") - F.col("mp"))
+    rated = both.join(F.broadcast(likeness.select("d", "a")), "d").withColumn("e", F.col("p") * F.col("q") * F.col("a"))
+    return rated.withColumn("top", F.max("e").over(Window.partitionBy())).where((F.col("e") >= eps_pair * F.col("top")) & F.col("ok") & F.col("ok2")).select("m", "mp")
+
+
 def apply_transfer(alm: DataFrame, fl: DataFrame) -> DataFrame:
     """a_lm f_l; 0 beyond the transfer's range."""
     f = F.broadcast(fl.select(F.col("ell").alias("l"), F.col("v").alias("_fl")))

@@ -111,3 +111,37 @@ def missing(required: DataFrame, available: DataFrame) -> DataFrame:
 
 def required_pairs(terms: DataFrame) -> DataFrame:
     return terms.select("ch1", "ch2").distinct()
+
+
+def lookup(blocks: DataFrame, one: str, two: str) -> DataFrame:
+    """Blocks of two spectra named in any spelling: letters and frequencies ('ET,150x090') or letters alone ('TE').
+
+    Both orders of the pair are found; ``blocks`` has the letters and frequencies of both keys."""
+    from ..functions.columns import canonical_key
+
+    def names(side: str, what: str):
+        letters, _, freqs = what.partition(",")
+        own = F.concat(f"{side}_s1", f"{side}_s2").isin(letters, letters[::-1])
+        if not freqs:
+            return own
+        f1, f2 = freqs.split("x")
+        return F.col(f"{side}_canon") == canonical_key(F.lit(letters[0]), F.lit(letters[1]), F.lit(f1), F.lit(f2))
+
+    return blocks.where((names("a", one) & names("b", two)) | (names("a", two) & names("b", one)))
+
+
+def term_multisets(products: DataFrame, by: tuple[str, ...] = ("idx1", "idx2")) -> DataFrame:
+    """(by, terms): the products of each block as a sorted list, each in the order of its factors that comes first."""
+    forth, back = F.struct(F.col("left").alias("a"), F.col("ch1").alias("c"), F.col("right").alias("b"), F.col("ch2").alias("e")), F.struct(F.col("right").alias("a"), F.col("ch2").alias("c"), F.col("left").alias("b"), F.col("ch1").alias("e"))
+    return products.groupBy(*by).agg(F.array_sort(F.collect_list(F.least(forth, back))).alias("terms"))
+
+
+def one_orientation(terms: DataFrame, mirrored: DataFrame, by: tuple[str, ...] = ("idx1", "idx2")) -> DataFrame:
+    """(by, single): whether a block and its mirror image consist of the same terms, so that one of them will do."""
+    both = term_multisets(terms, by).join(term_multisets(mirrored, by).withColumnRenamed("terms", "other"), list(by))
+    return both.select(*by, (F.col("terms") == F.col("other")).alias("single"))
+
+
+def norm_channels(products: DataFrame, norms: DataFrame) -> DataFrame:
+    """The norms that T and E blocks need."""
+    return products.join(F.broadcast(norms), ["left_stokes", "right_stokes"]).select("norm").distinct()

@@ -3,7 +3,8 @@
 The tables hold no spectra or masks, so inputs are derived from them: harmonic-like coefficients are
 averages of ``lineitem`` by quantity (degree), line number (order), status (field letter) and return
 flag (frequency); mask spectra are histograms of ``part`` sizes; mask pixels are the first three
-components of ``embeddings``; ring samples are ``events`` by hour.  All run over whole tables."""
+components of ``embeddings``; ring samples are ``events`` by hour.  All run over whole tables.  Queries whose inputs are
+a run's settings (keys, bins, filters, nodes) read no table."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import columns as C
-from .operators import dense, relational as R
+from .operators import dense, relational as R, sky
 from .plans import keys as K
 
 LMAX, LMIN = 50, 2
@@ -385,11 +386,11 @@ def leg_transform(spark, d):
     return R.matmul(R.matmul(g, s), R.transpose(g)).select("l1", "l2", r("v", 10).alias("v"))
 
 
-L_STAR, DMAX, SIZE = 3, 4, 7
+L_STAR, DMAX, SIZE = 3, 4, 8
 
 
 def _acc_kernels(spark, d):
-    p = table(spark, d, "part").where(f"p_size <= {SIZE * SIZE}")
+    p = table(spark, d, "part")
     cell = F.col("p_size") - 1
     raw = p.groupBy((F.floor(cell / SIZE)).cast("int").alias("i"), (cell % SIZE).cast("int").alias("j")).agg((F.avg("p_retailprice") / 1e3).alias("v"))
     pairs = spark.createDataFrame([(a, b, k) for a, b in (("TT", "TT"), ("TT", "DD"), ("DD", "DD")) for k in range(DMAX)], "ch1 string, ch2 string, d int")
@@ -399,7 +400,7 @@ def _acc_kernels(spark, d):
 _ACC = [("a", 1, "TT,090x090", "TT", "TT,150x150", "TT", "00"), ("a", 1, "TT,090x150", "TT", "TT,090x150", "TT", "00"), ("b", 2, "EE,090x090", "DD", "EE,090x090", "DD", "EE"), ("c", 1, "TT,220x220", "TT", "EE,220x220", "DD", "20")]
 
 
-@query(f"""WITH {SPECTRA}, {XI}, raw AS (SELECT CAST(FLOOR((p_size - 1) / {SIZE}) AS INTEGER) AS i, CAST((p_size - 1) % {SIZE} AS INTEGER) AS j, AVG(p_retailprice) / 1e3 AS v FROM part WHERE p_size <= {SIZE * SIZE} GROUP BY 1, 2),
+@query(f"""WITH {SPECTRA}, {XI}, raw AS (SELECT CAST(FLOOR((p_size - 1) / {SIZE}) AS INTEGER) AS i, CAST((p_size - 1) % {SIZE} AS INTEGER) AS j, AVG(p_retailprice) / 1e3 AS v FROM part GROUP BY 1, 2),
 k AS (SELECT i, j, v / SUM(v) OVER () AS v FROM raw), prod AS (SELECT * FROM (VALUES {', '.join(str(p) for p in _ACC)}) p(id, coef, lft, ch1, rgt, ch2, norm)), ds AS (SELECT CAST(x AS INTEGER) AS d FROM range({DMAX}) r(x)),
 up AS (SELECT id, xi.l1, xi.l2, SUM(coef * a.v * k.v * b.v * xi.v) AS v FROM prod, k, ds, xi, cl a, cl b
   WHERE xi.norm = prod.norm AND xi.l2 - xi.l1 = d AND a.canon = lft AND b.canon = rgt AND a.ell = xi.l1 - {L_STAR} + i AND b.ell = xi.l1 - {L_STAR} + j GROUP BY 1, 2, 3)
@@ -482,6 +483,9 @@ def error_budget(spark, d):
     return R.error_budget(b, F.lit(0.013)).select("idx1", "idx2", "n_e", r("bias").alias("bias"))
 
 
+_SEL_SQL = f"""{ALM}, x0 AS (SELECT m, SUM(re * re + im * im) AS p FROM alm WHERE s = 'T' AND f = '090' GROUP BY 1), x AS (SELECT m, p FROM x0 UNION ALL SELECT -m, p FROM x0 WHERE m > 0),
+y0 AS (SELECT m, SUM(re * re + im * im) AS p FROM alm WHERE s = 'E' AND f = '090' GROUP BY 1), y AS (SELECT m, p FROM y0 UNION ALL SELECT -m, p FROM y0 WHERE m > 0),
+ac AS (SELECT b.m - a.m AS d, SUM(a.p * b.p) AS a FROM x a, x b GROUP BY 1)"""
 AZ = f"""{ALM}, p0 AS (SELECT m, SUM(re * re + im * im) AS p FROM alm WHERE s = 'T' AND f = '090' GROUP BY 1), p AS (SELECT m, p FROM p0 UNION ALL SELECT -m, p FROM p0 WHERE m > 0),
 ac AS (SELECT CAST(y.m - x.m AS INTEGER) AS d, SUM(x.p * y.p) AS a FROM p x, p y GROUP BY 1)"""
 
@@ -562,10 +566,10 @@ def correlation_eigenvalues(spark, d):
 
 
 @query(f"""WITH e AS (SELECT user_id, CAST(EXTRACT(hour FROM ts) AS INTEGER) AS k, SUM(value) / 1e3 AS v FROM events GROUP BY 1, 2)
-SELECT user_id, CAST(m AS INTEGER) AS mode, ROUND(SUM(v * COS({-2 * math.pi!r} * m * k / 24)), 6) + 0.0 AS re, ROUND(SUM(v * SIN({-2 * math.pi!r} * m * k / 24)), 6) + 0.0 AS im FROM e, range(12) r(m) GROUP BY 1, 2""")
+SELECT user_id, CAST(m AS INTEGER) AS mode, ROUND(SUM(v * COS({-2 * math.pi!r} * m * k / 24)), 6) + 0.0 AS re, ROUND(SUM(v * SIN({-2 * math.pi!r} * m * k / 24)), 6) + 0.0 AS im FROM e, range(13) r(m) GROUP BY 1, 2""")
 def ring_transform(spark, d):
     e = table(spark, d, "events").groupBy("user_id", F.hour("ts").alias("k")).agg((F.sum("value") / 1e3).alias("v")).withColumn("n", F.lit(24))
-    return R.ring_transform(e, ["user_id"], 12).select("user_id", "mode", r("re", 6).alias("re"), r("im", 6).alias("im"))
+    return R.ring_transform(e, ["user_id"], 13).select("user_id", "mode", r("re", 6).alias("re"), r("im", 6).alias("im"))
 
 
 _RINGS = "WITH p AS (SELECT CAST(i AS INTEGER) AS ring, SIN((i + 0.5) * PI() / 16) AS s, CAST(m AS INTEGER) AS m FROM range(16) a(i), range(40) b(m))"
@@ -627,7 +631,7 @@ def legendre_table(spark, d):
 def _quadrature() -> str:
     import numpy as np
 
-    x, w = np.polynomial.legendre.leggauss(40)
+    x, w = np.polynomial.legendre.leggauss(80)
     return ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a, b in zip(x.tolist(), w.tolist(), strict=True))
 
 
@@ -635,27 +639,210 @@ def _quadrature() -> str:
 p(mu, l, p, q) AS (SELECT mu, 0, 1.0::DOUBLE, 0.0::DOUBLE FROM n UNION ALL SELECT mu, l + 1, ((2 * l + 1) * mu * p - l * q) / (l + 1), p FROM p WHERE l < 50),
 wm AS (SELECT p.mu, SUM((2 * k + 1) / {4 * math.pi!r} * h.w * p.p) AS c FROM h JOIN p ON p.l = h.k GROUP BY 1)
 SELECT CAST(a.l AS INTEGER) AS l1, CAST(b.l AS INTEGER) AS l2, ROUND((2 * b.l + 1) * SUM(0.5 * n.w * c * a.p * b.p), 8) + 0.0 AS v
-FROM p a JOIN p b ON a.mu = b.mu JOIN n ON n.mu = a.mu JOIN wm ON wm.mu = a.mu WHERE a.l <= 12 AND b.l <= 12 GROUP BY a.l, b.l""")
+FROM p a JOIN p b ON a.mu = b.mu JOIN n ON n.mu = a.mu JOIN wm ON wm.mu = a.mu GROUP BY a.l, b.l""")
 def master_kernel(spark, d):
     p = table(spark, d, "part")
     h = p.groupBy(F.col("p_size").alias("l")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(p.agg(F.count("*").alias("t"))))
-    kernel = dense.coupling_kernels(h.select("l", (F.col("n") / F.col("t")).alias("wl")), 12)
+    kernel = dense.coupling_kernels(h.select("l", (F.col("n") / F.col("t")).alias("wl")), LMAX)
     return kernel.where("channel = 'TT'").select("l1", "l2", r("v").alias("v"))
 
 
-@query(f"WITH {SPECTRA} SELECT x.ell AS l1, CAST(i AS INTEGER) AS l2, ROUND(CASE WHEN x.ell = i THEN 2 * v * v / (2 * i + 1) ELSE 0.0 END, 8) + 0.0 AS v FROM cl x, range(1, 9) r(i) WHERE canon = 'TT,090x090' AND x.ell BETWEEN 1 AND 8")
+@query(f"WITH {SPECTRA} SELECT CAST(i AS INTEGER) AS l1, CAST(x.ell AS INTEGER) AS l2, ROUND(CASE WHEN x.ell = i THEN 2 * v * v / (2 * i + 1) ELSE 0.0 END, 7) + 0.0 AS v FROM cl x, range({LMAX + 1}) r(i) WHERE canon = 'TT,090x090'")
 def exact_rows_full_sky(spark, d):
     """Exact rows through the quadrature grid; without a mask they are the cosmic variance."""
-    cl = spectra(spark, d).where("canon = 'TT,090x090' and ell between 1 and 8").select("ell", "v")
-    out = dense.exact_rows(cl, lambda mu, phi: mu * 0 + phi * 0 + 1.0, 8, list(range(1, 9)))
-    return out.where("l1 > 0").select("l1", F.col("l2").cast("int").alias("l2"), r("v").alias("v"))
+    cl = spectra(spark, d).where("canon = 'TT,090x090'").select("ell", "v")
+    out = dense.exact_rows(cl, lambda mu, phi: mu * 0 + phi * 0 + 1.0, LMAX, [x.ell for x in cl.select("ell").orderBy("ell").collect()], 0)
+    return out.select("l1", "l2", r("v", 7).alias("v"))
 
 
-@query()
-def polspice_kernel(spark, d):
-    """Regularised kernels of a narrow mask up to 30 degrees; tests check the identities."""
+_POL = (("EE", "EE"), ("TT", "EE"), ("TE", "TE"))
+
+
+@query(f"""WITH {SPECTRA}, w AS (SELECT ell, MAX(v) FILTER (canon = 'TT,090x090') AS tt, MAX(v) FILTER (canon = 'EE,090x090') AS ee, MAX(v) FILTER (canon = 'TE,090x090') AS te FROM cl WHERE ell BETWEEN 2 AND 12 GROUP BY 1),
+b AS (SELECT ell, 'EE' AS lft, 'EE' AS rgt, 2 * ee * ee AS x FROM w UNION ALL SELECT ell, 'TT', 'EE', 2 * te * te FROM w UNION ALL SELECT ell, 'TE', 'TE', tt * ee + te * te FROM w)
+SELECT lft AS left_stokes, rgt AS right_stokes, CAST(ell AS INTEGER) AS ell, ROUND(x / (2 * ell + 1), 6) + 0.0 AS v FROM b""")
+def exact_polarised_full_sky(spark, d):
+    """Exact polarised rows; without a mask they are the cosmic variances of the three blocks, up to the 12 multipoles of the fixture's grid."""
+    cl = spectra(spark, d).where("canon in ('TT,090x090', 'EE,090x090', 'TE,090x090') and ell <= 12")
+    named = cl.select(F.concat("s1", "s2").alias("stokes"), "ell", "v")
+    out = dense.exact_rows_polarised(named, lambda mu, phi: mu * 0 + phi * 0 + 1.0, 12, list(range(2, 13)), list(_POL), 0)
+    return out.where("l1 = l2").select(F.col("left").alias("left_stokes"), F.col("right").alias("right_stokes"), F.col("l1").alias("ell"), r("v", 6).alias("v"))
+
+
+def _narrow_quadrature() -> str:
+    from .functions import numerics as N
+
+    x, w = N.gauss_legendre(12 + 5 + 32, math.cos(math.pi / 6), 1.0)
+    return ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a, b in zip(x.tolist(), w.tolist(), strict=True))
+
+
+def _narrow(spark):
     wl = spark.range(11).select(F.col("id").cast("int").alias("l"), (F.exp(-0.1 * F.col("id") * (F.col("id") + 1))).alias("wl"))
-    return dense.polspice(wl, 12, math.pi / 6).select("channel", "l1", "l2", r("v", 6).alias("v"))
+    return dense.polspice(wl, 12, math.pi / 6)
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT * FROM (VALUES {_narrow_quadrature()}) n(mu, w)),
+p(mu, l, p, q) AS (SELECT mu, 0, 1.0::DOUBLE, 0.0::DOUBLE FROM n UNION ALL SELECT mu, l + 1, ((2 * l + 1) * mu * p - l * q) / (l + 1), p FROM p WHERE l < 12),
+c AS (SELECT mu, SUM((2 * l + 1) / {4 * math.pi!r} * EXP(-0.1 * l * (l + 1)) * p) AS c FROM p WHERE l <= 10 GROUP BY 1),
+f AS (SELECT n.mu, w, 0.5 * (1 + COS(PI() * ACOS(n.mu) / {math.pi / 6!r})) AS f, c FROM n JOIN c ON c.mu = n.mu)
+SELECT ch AS channel, CAST(a.l AS INTEGER) AS l1, CAST(b.l AS INTEGER) AS l2, ROUND((2 * b.l + 1) * SUM(0.5 * w * f * CASE ch WHEN 'K0' THEN 1.0 ELSE 1 / c END * a.p * b.p), 6) + 0.0 AS v
+FROM p a JOIN p b ON a.mu = b.mu JOIN f ON f.mu = a.mu, (VALUES ('K0'), ('G0')) k(ch) GROUP BY ch, a.l, b.l""")
+def polspice_kernel(spark, d):
+    """Scalar regularised kernels of a narrow mask up to 30 degrees."""
+    return _narrow(spark).where("channel in ('K0', 'G0')").select("channel", "l1", "l2", r("v", 6).alias("v"))
+
+
+@query()
+def polspice_polarised(spark, d):
+    """The other kernels; tests check the identities."""
+    return _narrow(spark).where("channel not in ('K0', 'G0')").select("channel", "l1", "l2", r("v", 6).alias("v"))
+
+
+@query("SELECT CAST(dd AS INTEGER) AS d, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, p.ch1, p.ch2, CASE WHEN dd = 0 AND i = 5 AND j = 5 THEN 11.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM range(2) x(dd), range(9) a(i), range(9) b(j), (VALUES ('TT', 'TT'), ('TT', 'DD'), ('DD', 'DD')) p(ch1, ch2)")
+def couplings_full_sky(spark, d):
+    """Precomputed kernels without a mask: 2 l + 1 at the centre, nothing elsewhere."""
+    made = sky.coupling_kernels(spark, lambda mu, phi: mu * 0 + phi * 0 + 1.0, 8, 0, 5, 2, [("TT", "TT"), ("TT", "DD"), ("DD", "DD")])
+    return made.select("d", "i", "j", "ch1", "ch2", r("v").alias("v"))
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT p_size AS k, COUNT(*) / (SELECT COUNT(*) FROM part) AS w FROM part GROUP BY 1), n AS (SELECT * FROM (VALUES {_quadrature()}) n(mu, w)),
+p(mu, l, p, q) AS (SELECT mu, 0, 1.0::DOUBLE, 0.0::DOUBLE FROM n UNION ALL SELECT mu, l + 1, ((2 * l + 1) * mu * p - l * q) / (l + 1), p FROM p WHERE l < 50),
+wm AS (SELECT p.mu, SUM((2 * k + 1) / {4 * math.pi!r} * h.w * p.p) AS c FROM h JOIN p ON p.l = h.k GROUP BY 1)
+SELECT CAST(m AS INTEGER) AS m, ROUND({2 * math.pi!r} * SUM(n.w * c * c * CASE WHEN m = 0 THEN {3 / (4 * math.pi)!r} * n.mu * n.mu ELSE {3 / (8 * math.pi)!r} * (1 - n.mu * n.mu) END), 8) + 0.0 AS p
+FROM n JOIN wm ON wm.mu = n.mu, range(-1, 2) r(m) GROUP BY 1""")
+def mode_power(spark, d):
+    """Share of a symmetric mask's power that each order of degree 1 sees."""
+    p = table(spark, d, "part")
+    h = p.groupBy(F.col("p_size").alias("l")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(p.agg(F.count("*").alias("t"))))
+    return dense.mode_power(h.select("l", (F.col("n") / F.col("t")).alias("wl")), 1).select("m", r("p").alias("p"))
+
+
+@query(f"WITH {ALM} SELECT s, f, l, m, ROUND(re, 8) + 0.0 AS re, ROUND(im, 8) + 0.0 AS im FROM alm WHERE l <= 20")
+def truncated_alm(spark, d):
+    return R.truncated(alm(spark, d), 20).select("s", "f", "l", "m", r("re").alias("re"), r("im").alias("im"))
+
+
+@query(f"WITH {ALM} SELECT s, f, l, m, ROUND(re, 6) + 0.0 AS re, ROUND(im, 6) + 0.0 AS im FROM alm UNION ALL SELECT s, f, l, CAST(-m AS INTEGER), ROUND(CASE WHEN m % 2 = 0 THEN re ELSE -re END, 6) + 0.0, ROUND(CASE WHEN m % 2 = 0 THEN -im ELSE im END, 6) + 0.0 FROM alm WHERE m > 0")
+def full_order_alm(spark, d):
+    return R.full_orders(alm(spark, d)).select("s", "f", "l", "m", r("re", 6).alias("re"), r("im", 6).alias("im"))
+
+
+@query(f"""WITH {ALM}, p AS (SELECT a.f, a.l, a.m, a.re AS tr, a.im AS ti, b.re AS er, b.im AS ei FROM alm a JOIN alm b ON a.f = b.f AND a.l = b.l AND a.m = b.m WHERE a.s = 'T' AND b.s = 'E')
+SELECT f, l, m, ROUND(tr, 6) + 0.0 AS re, ROUND(CASE WHEN m = 0 THEN 0.0 ELSE ti END, 6) + 0.0 AS im, ROUND(er, 6) + 0.0 AS re2, ROUND(CASE WHEN m = 0 THEN 0.0 ELSE ei END, 6) + 0.0 AS im2 FROM p""")
+def real_pair_of_complex_alm(spark, d):
+    """T + iE as one complex field over both signs of m, and back to its two real parts."""
+    whole = R.full_orders(alm(spark, d).withColumn("im", F.when(F.col("m") == 0, 0.0).otherwise(F.col("im"))))
+    t, e = whole.where("s = 'T'").drop("s"), whole.where("s = 'E'").select("f", "l", "m", F.col("re").alias("er"), F.col("im").alias("ei"))
+    field = t.join(e, ["f", "l", "m"]).select("f", "l", "m", (F.col("re") - F.col("ei")).alias("re"), (F.col("im") + F.col("er")).alias("im"))
+    return R.half_orders(field, ["f"]).select("f", "l", "m", *[r(x, 6).alias(x) for x in ("re", "im", "re2", "im2")])
+
+
+@query("SELECT CAST(i AS INTEGER) AS ell, CAST(GREATEST(128, POW(2, FLOOR(LOG2(i + 100)))) AS INTEGER) AS nside FROM range(3001) r(i)")
+def resolution(spark, d):
+    return ells(spark, 3000).select("ell", C.nside_for("ell").alias("nside"))
+
+
+@query("SELECT CAST(k AS INTEGER) AS k, ROUND(CASE WHEN k % 2 = 0 THEN 2.0::DOUBLE / (k + 1) ELSE 0.0::DOUBLE END, 10) + 0.0 AS moment FROM range(24) r(k)")
+def quadrature_moments(spark, d):
+    """Moments of the least grid for a field of band limit 8 and a mask of 6: exact up to degree 23."""
+    from .functions import numerics as N
+
+    x, w = N.gauss_legendre(N.minimal_band(8, 6) + 1)
+    nodes = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, w, strict=True)], "mu double, w double")
+    k = spark.range(24).select(F.col("id").cast("int").alias("k"))
+    return k.crossJoin(F.broadcast(nodes)).groupBy("k").agg(r(F.sum(F.col("w") * F.pow("mu", F.col("k"))), 10).alias("moment"))
+
+
+@query(f"WITH {_OBS_SQL} SELECT a.idx AS idx1, b.idx AS idx2 FROM keys a JOIN keys b ON a.idx <= b.idx WHERE (a.s1 || a.s2 IN {_ODD}) = (b.s1 || b.s2 IN {_ODD}) AND ((a.canon = 'TE,090x150' AND b.s1 || b.s2 = 'EE') OR (b.canon = 'TE,090x150' AND a.s1 || a.s2 = 'EE'))")
+def block_lookup(spark, d):
+    return K.lookup(K.block_positions(_observed(spark)), "ET,150x090", "EE").select("idx1", "idx2")
+
+
+@query(f"""WITH {BLOCKS_SQL}, norms AS (SELECT * FROM (VALUES {', '.join(str(n) for n in K.NORMS)}) n(ls, rs, norm)) SELECT DISTINCT norm FROM prods JOIN norms ON ls = left_stokes AND rs = right_stokes""")
+def needed_channels(spark, d):
+    return K.norm_channels(products(spark), K.norm_table(spark))
+
+
+@query(f"""WITH {BLOCKS_SQL}, t AS (SELECT idx1, idx2, LEAST(lft || '|' || left_stokes || '#' || rgt || '|' || right_stokes, rgt || '|' || right_stokes || '#' || lft || '|' || left_stokes) AS t FROM prods),
+g AS (SELECT idx1, idx2, STRING_AGG(t, ';' ORDER BY t) AS t FROM t GROUP BY 1, 2) SELECT idx1, idx2, COUNT(*) OVER (PARTITION BY t) AS blocks FROM g""")
+def equal_term_blocks(spark, d):
+    """How many blocks consist of the same products, either way round."""
+    from pyspark.sql import Window
+
+    p = products(spark).select("idx1", "idx2", "left", F.col("left_stokes").alias("ch1"), "right", F.col("right_stokes").alias("ch2"))
+    return K.term_multisets(p).select("idx1", "idx2", F.count("*").over(Window.partitionBy("terms")).alias("blocks"))
+
+
+@query(f"""WITH {_SEL_SQL}, k AS (SELECT x.m, y.m AS mp, x.p * y.p * a.a AS e, x.p >= 0.2 * (SELECT MAX(p) FROM x) AS ox, y.p >= 0.2 * (SELECT MAX(p) FROM y) AS oy FROM x, y, ac a WHERE a.d = x.m - y.m)
+SELECT CAST(m AS INTEGER) AS m, CAST(mp AS INTEGER) AS mp FROM k WHERE ox AND oy AND e >= 0.3 * (SELECT MAX(e) FROM k)""")
+def kept_order_pairs(spark, d):
+    one, two = (R.azimuthal_spectrum(alm(spark, d).where(f"s = '{s}' and f = '090'")) for s in "TE")
+    return R.kept_pairs(one, two, R.autocorrelation(one), 0.2, 0.3)
+
+
+@query(f"WITH {_SEL_SQL}, u AS (SELECT m, p >= 0.9 * (SELECT MAX(p) FROM x) AS keep FROM x UNION ALL SELECT m, p >= 0.9 * (SELECT MAX(p) FROM y) FROM y) SELECT CAST(m AS INTEGER) AS m, BOOL_OR(keep) AS keep FROM u GROUP BY 1")
+def union_of_selections(spark, d):
+    from pyspark.sql import Window
+
+    sel = None
+    for s in "TE":
+        p = R.azimuthal_spectrum(alm(spark, d).where(f"s = '{s}' and f = '090'"))
+        own = p.select("m", (F.col("p") >= 0.9 * F.max("p").over(Window.partitionBy())).alias("keep"))
+        sel = own if sel is None else sel.unionByName(own)
+    return R.union_of_selections(sel, ["m"])
+
+
+@query(f"""WITH {NKA_SQL}, {weights_sql(False)} SELECT idx1, idx2, i.bin AS bin1, j.bin AS bin2, ROUND(SUM(i.w * j.w * v * {_DL2} * (1 + l1 / 100.0) * (1 + l2 / 100.0)), 4) + 0.0 AS v
+FROM nka JOIN w i ON i.ell = l1 JOIN w j ON j.ell = l2 GROUP BY 1, 2, 3, 4""")
+def debiased_blocks(spark, d):
+    """Binned blocks in D_l, with the debiasing of both legs."""
+    debias = spectra(spark, d).select(F.col("canon").alias("key"), "ell", (1 + F.col("ell") / 100.0).alias("v"))
+    legs = K.spectrum_keys(*fields(spark)).select("idx", F.col("canon").alias("key"))
+    w = R.bin_weights(ells(spark), bins(spark), lmin=LMIN, flatten=False)
+    return R.bin_blocks(R.scale_blocks(nka(spark, d), dl=True, debias=debias, legs=legs), w).select("idx1", "idx2", "bin1", "bin2", r("v", 4).alias("v"))
+
+
+_SUMS = "sm AS (SELECT ch1, ch2, CAST(CASE WHEN p_size <= 25 THEN 0 ELSE 1 END AS INTEGER) AS d, SUM(p_retailprice / 1e6) AS s FROM part, (VALUES ('TT', 'TT'), ('TT', 'DD'), ('TT', 'LL'), ('DD', 'DD'), ('DL', 'LD'), ('TL', 'DD')) c(ch1, ch2) WHERE (ch2 <> 'LL' OR p_size % 5 = 0) GROUP BY 1, 2, 3)"
+
+
+def _sums(spark, d):
+    """Kernel sums by channel pair and distance: prices of small and large parts."""
+    pairs = spark.createDataFrame([("TT", "TT"), ("TT", "DD"), ("TT", "LL"), ("DD", "DD"), ("DL", "LD"), ("TL", "DD")], "ch1 string, ch2 string")
+    p = table(spark, d, "part").crossJoin(F.broadcast(pairs)).where("ch2 <> 'LL' or p_size % 5 = 0")
+    return p.groupBy("ch1", "ch2", F.when(F.col("p_size") <= 25, 0).otherwise(1).alias("d")).agg(F.sum(F.col("p_retailprice") / 1e6).alias("s"))
+
+
+@query(f"WITH {_SUMS} SELECT d, ROUND(SUM(s) FILTER (ch1 = 'TT' AND ch2 = 'LL') / SUM(s) FILTER (ch1 = 'TT' AND ch2 = 'DD'), 10) + 0.0 AS ratio FROM sm GROUP BY 1")
+def leakage_ratio(spark, d):
+    return R.leakage_ratio(_sums(spark, d)).select("d", r("ratio", 10).alias("ratio"))
+
+
+def _wide_xi(spark, d):
+    pick = lambda n: F.max(F.when(F.col("norm") == n, F.col("v")))
+    wide = xi(spark, d).groupBy("l1", "l2").agg(pick("00").alias("x00"), pick("20").alias("x20"), pick("EE").alias("xee"))
+    return wide.withColumn("xeb", F.col("xee") * (0.05 + 0.5 / (F.col("l1") + F.col("l2") + 2)))
+
+
+_WIDE = f"""{XI}, wx AS (SELECT l1, l2, MAX(v) FILTER (norm = '00') AS x00, MAX(v) FILTER (norm = '20') AS x20, MAX(v) FILTER (norm = 'EE') AS xee, CAST(0.05 + 0.5::DOUBLE / (l1 + l2 + 2) AS DOUBLE) AS rho FROM xi GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_WIDE}, {_SUMS}, g AS (SELECT CASE ch2 WHEN 'TT' THEN '00' ELSE '20' END AS rule, d, SUM(s) AS s FROM sm WHERE ch1 = 'TT' AND ch2 IN ('TT', 'DD', 'LL') GROUP BY 1, 2),
+o AS (SELECT rule, g.d, ABS(s / (21 * (2 * (10 + g.d) + 1) * CASE rule WHEN '00' THEN x00 ELSE x20 END) - 1) AS off FROM g JOIN wx ON l1 = 10 AND l2 = 10 + g.d)
+SELECT rule, ROUND(MAX(off), 8) + 0.0 AS worst, ARG_MAX(d, off) AS at FROM o GROUP BY 1""")
+def normalisation_consistency(spark, d):
+    return R.normalisation_consistency(_sums(spark, d), _wide_xi(spark, d), 10).select("rule", r("worst").alias("worst"), "at")
+
+
+@query(f"""WITH {_WIDE}, {_SUMS}, u AS (SELECT l1, l2 - l1 AS d, x00, x20, xee, rho FROM wx WHERE l2 >= l1),
+j AS (SELECT sm.*, u.l1 AS m, u.x00, u.x20, u.xee, u.rho, c.x00 AS c00, c.x20 AS c20, c.xee AS cee, c.rho AS crho,
+  LENGTH(REGEXP_REPLACE(ch1 || ch2, 'T', '', 'g')) AS n, LENGTH(REGEXP_REPLACE(ch1 || ch2, '[^L]', '', 'g')) AS k, 21 * (2 * (10 + sm.d) + 1) AS modes FROM sm JOIN u ON u.d = sm.d JOIN u c ON c.d = sm.d AND c.l1 = 10),
+q AS (SELECT *, CASE n WHEN 0 THEN x00 WHEN 2 THEN x20 WHEN 4 THEN xee ELSE x00 * POW(x20 / x00, n / 2.0) END * POW(rho, k / 2.0) AS p, CASE n WHEN 0 THEN c00 WHEN 2 THEN c20 WHEN 4 THEN cee ELSE c00 * POW(c20 / c00, n / 2.0) END * POW(crho, k / 2.0) AS pc FROM j),
+e AS (SELECT *, s / (modes * pc) AS e FROM q)
+SELECT ch1, ch2, d, CAST(m AS INTEGER) AS m, ROUND(CASE WHEN n = 0 THEN x00 / s WHEN k = 0 THEN p * (1 - (1 - e) * rho / crho) / s
+  WHEN ch1 = 'DL' AND ch2 = 'LD' THEN p * SIGN(e) * GREATEST(0, LEAST(0.5, 0.25 + (ABS(e) - 0.25) * (21 + d) / (2 * m + d + 1))) / s ELSE p / (modes * pc) END, 6) + 0.0 AS x FROM e""")
+def term_scales(spark, d):
+    """What each Wick term of a run with leakage is multiplied by."""
+    return R.term_scale(_wide_xi(spark, d), _sums(spark, d), 10).select("ch1", "ch2", "d", "m", r("x", 6).alias("x"))
 
 
 @query()
