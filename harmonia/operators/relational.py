@@ -116,8 +116,8 @@ def nka_blocks(products: DataFrame, arrays: DataFrame, xi: DataFrame, norms: Dat
         pair = nka_average(at("cl", "l1"), at("cl", "l2"), f"{t}.left_stokes") * nka_average(at("cr", "l1"), at("cr", "l2"), f"{t}.right_stokes")
         return pair * F.try_element_at("x", F.col(f"{t}.norm"))
 
-    v = F.when(value("one").isNull(), value("two")).when(value("two").isNull(), value("one")).otherwise(value("one") + value("two"))
-    return wide.crossJoin(F.broadcast(plan)).select("idx1", "idx2", "l1", "l2", v.alias("v")).where("v is not null")
+    none = F.lit(0.0)
+    return wide.crossJoin(F.broadcast(plan)).select("idx1", "idx2", "l1", "l2", (F.coalesce(value("one"), none) + F.coalesce(value("two"), none)).alias("v"))
 
 
 def inka_spectra(spectra: DataFrame, master: DataFrame) -> DataFrame:

@@ -178,17 +178,18 @@ def select_terms(mask: np.ndarray, grid: N.Grid, alm: np.ndarray, ell: int, prim
     return Terms(m[one], mp[two], pairs, band)
 
 
-def coupling_block(mask: np.ndarray, grid: N.Grid, ell: int, prime: int, pairs: Sequence[tuple[str, str]], terms: Terms | None = None, block: int = 16) -> dict[tuple[str, str], np.ndarray]:
+def coupling_block(mask: np.ndarray, grid: N.Grid, ell: int, prime: int, pairs: Sequence[tuple[str, str]], terms: Terms | None = None, most_bytes: int = 1 << 29) -> dict[tuple[str, str], np.ndarray]:
     """K^{s1 s2}[L, L'] = Re sum_{mm'} Theta^{s1} conj Theta^{s2} at (ell, prime), Theta_{mm'} = sum_M X_m conj Y_m'.
 
-    A mode pair and its mirror contribute alike, so m < 0 is left out.  Blocks of ``block`` modes of both
-    multipoles are held at once, whatever the multipoles; with ``terms`` modes, mode pairs and M are left out."""
+    A mode pair and its mirror contribute alike, so m < 0 is left out.  Modes of both multipoles are held in
+    blocks that take about ``most_bytes`` for each; with ``terms`` modes, mode pairs and M are left out."""
     orders = np.arange(ell + 1) if terms is None else terms.orders[terms.orders >= 0]
     primes = np.arange(-prime, prime + 1) if terms is None else terms.orders_prime
     band = None if terms is None else terms.band
     channels = sorted({c for p in pairs for c in p})
     left, right = ("".join(sorted({c[k] for c in channels})) for k in (0, 1))
     out = {p: np.zeros((grid.lmax + 1, grid.lmax + 1)) for p in pairs}
+    block = max(1, most_bytes // (16 * (grid.lmax + 1) * (2 * grid.lmax + 1) * max(len(left), len(right))))
     for i in range(0, len(orders), block):
         m = orders[i : i + block]
         x = {k: v.transpose(1, 0, 2) for k, v in N.leg_modes(mask, grid, ell, m, left, band).items()}
