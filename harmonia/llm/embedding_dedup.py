@@ -176,7 +176,7 @@ def near_vectors(embeddings: DataFrame, *, threshold: float = 0.98) -> DataFrame
     about 2048 rows and only tiles of neighbouring cells are compared, leading dimensions first.
     A tile pair returns link counts and a spanning forest, at most a row for each of its rows.
 
-    A null id has no component and is kept.  Repeated rows count as vectors of their own; rows
+    A null id links with nothing, has no component and is kept.  Repeated rows count as vectors of their own; rows
     that share an id share a component.  An empty table gives an empty result."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     axes = principal_axes(rows.where(F.col("label").isNotNull()))
@@ -217,6 +217,6 @@ def near_vectors(embeddings: DataFrame, *, threshold: float = 0.98) -> DataFrame
     discard(reps, cells, near, found, groups)
     out = placed.drop("embedding").join(told, exact, "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
+    return out.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
     )

@@ -431,3 +431,28 @@ def test_margin_is_the_worst_sentence_whatever_the_pieces():
                 words = toxicity._split(*_words.text_buffer(pa.array([" ".join(bag)])))
                 best = max(best, float((model.kernel.words(words) @ model.direction).sum()))
         assert whole[k] == pytest.approx(best + model.offset, rel=1e-5)
+
+
+def test_null_ids_repeated_rows_and_long_texts(spark):
+    long = "word of a long text " * 150_000 + "token=abcdef12 MIT License"
+    rows = [(None, "token=abcdef12 mit license", "s"), (None, "token=abcdef12 mit license", "s"), (1, long, "s"), (1, long, "s"), (2, "x" * 3_000_000, None)]
+    docs = documents(spark, rows).withColumn("spans", F.lit("x")).withColumn("n_words", F.lit("x"))
+    found = sorted((str(r.doc_id), r.n_assign, r.spans.split(":")[0]) for r in secrets.digest(secrets.find_secrets(docs)).collect())
+    assert found == [("1", 1, "assign"), ("1", 1, "assign"), ("2", 0, ""), ("None", 1, "assign"), ("None", 1, "assign")]
+    told = sorted((str(r.doc_id), r.n_words, r.base_labels) for r in licenses.license_scan(docs).collect())
+    assert told == [("1", 750_004, "mit")] * 2 + [("2", 1, "")] + [("None", 4, "mit")] * 2
+    assert token_counts.encoded_lengths(documents(spark, rows[:2] + [(3, long, "s")]), registry.RANKS).where("n_tokens > 0").count() == 3
+    bench = spark.createDataFrame([(7, "a passage of the benchmark that stands in a long text twice"), (7, None)], "item_id long, text string")
+    leaky = documents(spark, [(1, long + " a passage of the benchmark that stands in a long text twice", "s")] * 2 + rows)
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(leaky, bench).collect()] == [(1, 7)]
+    assert sorted(str(r.doc_id) for r in decontaminate.drop_leaks(leaky, bench).collect()) == ["1", "1", "2", "None", "None"]
+    assert {r.doc_id: r.n_shingles for r in minhash.near_duplicates(docs).collect()}[1] == len(brute.shingles(long))
+    graded = quality.quality(docs).collect()
+    assert len(graded) == 5 and sorted(r.shard for r in sharding.shards(docs).collect())[0] >= 0
+
+
+def test_null_and_repeated_vector_ids(spark):
+    a, b = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    emb = spark.createDataFrame([(None, 1, a), (1, 1, a), (1, 1, a), (2, 1, b), (3, 1, [2.0, 4.0, 6.0])], "vec_id long, label int, embedding array<double>").withColumn("component_id", F.lit(0))
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embedding_dedup.near_vectors(emb).collect())
+    assert got == [("1", 2, "1", True), ("1", 2, "1", True), ("2", 0, "2", True), ("3", 2, "1", False), ("None", 0, "None", True)]
