@@ -17,27 +17,42 @@ MIX_SHARE = 0.9
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model scores at 0.3 or more go.
+
+    Null and blank texts get the score of a text without sentences and stay unless nearly all labels are toxic;
+    without labels of both classes every score is their share.  Repeated rows share their fate; an empty table
+    stays empty; all columns, whatever their names, pass through."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each group of near duplicates (similarity 0.8) stays, that of the smallest id.
+
+    Null and blank texts are no one's duplicate; rows of null id stay; a row that repeats id and text stays once; an
+    id with two texts loses neither unless it is a copy.  An empty table stays empty, other columns pass through."""
     return minhash.drop_near_duplicates(docs, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item, or a re-parameterised one, go.
+
+    Null and blank texts hold nothing; without items all rows stay; repeated rows share their fate; an empty
+    table stays empty, other columns pass through."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources that hold more than their weight give up what the budget leaves out."""
+    """Sources that hold more than their weight give up what the budget leaves out.
+
+    A null language or source is a branch of its own; rows without words cost nothing and stay; equal rows (id and
+    text) have one place in the order; an empty table stays empty, other columns pass through."""
     return mixing.keep_mixture(docs, domain_of(docs["source"]), share=MIX_SHARE)
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its shard."""
+    """Every document gets its shard: an int column ``shard``, in place of one that is there already.
+
+    Equal texts share a shard, null texts go with empty ones, and no row is lost; an empty table stays empty."""
     return sharding.with_shard(docs, SHARDS)
 
 
