@@ -168,7 +168,7 @@ def mix(docs: DataFrame, levels: Sequence[str] = ("domain", "lang", "source"), *
 
 def keep_mixture(docs: DataFrame, domain: Column, *, share: float, weights: Mapping[tuple, float] | None = None, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` that one epoch at most of the mixture takes; columns unchanged.  Null levels are a
-    branch of their own, rows without words cost nothing and stay where their leaf takes any prefix."""
+    branch of their own, and a leaf without any words stays whole."""
     levels = ("domain", "lang", "source")
     own = docs.select("doc_id", "text", "lang", "source").withColumn("domain", domain)
     rows, leaves = plan(own, levels, share=share, weights=weights, epochs=1.0, seed=seed)
@@ -178,6 +178,6 @@ def keep_mixture(docs: DataFrame, domain: Column, *, share: float, weights: Mapp
     for n, c in here.items():
         on = on & c.cast("string").eqNullSafe(leaves[f"_mix_{n}"])
     place = F.xxhash64(F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")), F.lit(seed), F.col("_mix_full"))
-    taken = (F.col("_mix_full") > 0) | ((F.col("_mix_rest") > 0) & (F.col("_mix_cut").isNull() | (place < F.col("_mix_cut"))))
+    taken = (F.col("_mix_full") > 0) | (F.col("_mix_leaf_tokens") == 0) | ((F.col("_mix_rest") > 0) & (F.col("_mix_cut").isNull() | (place < F.col("_mix_cut"))))
     discard(rows)
     return docs.join(_side(leaves), on).where(taken).select(*[docs[c] for c in docs.columns])
