@@ -44,7 +44,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources that hold more than their weight give up what the budget leaves out.
 
-    A null language or source is a branch of its own; rows without words cost nothing and stay; equal rows (id and
+    A null language or source is a branch of its own; a branch without any words stays whole; equal rows (id and
     text) have one place in the order; an empty table stays empty, other columns pass through."""
     return mixing.keep_mixture(docs, domain_of(docs["source"]), share=MIX_SHARE)
 
